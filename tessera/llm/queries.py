@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lines, mixing, quality, sharding, urls
-from tessera.llm.common import kept, read, words
+from tessera.llm import darts, langid, lines, mixing, quality, sharding, toxicity, urls
+from tessera.llm.common import held_out, kept, read, words
 
 SHARDS = 16
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = darts.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
     docs = kept(docs, "sizes")  # so texts are read once
@@ -33,6 +45,12 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.predict(docs.select("doc_id", "text"), langid.fit(docs.where(~held_out(F.col("doc_id")))))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "text", "quality")
@@ -43,5 +61,5 @@ def op10_near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op4_url_filter, op6_rendezvous_shards, op9_quality_rules, op10_near_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_dart_minhash, op3_source_mix, op4_url_filter, op6_rendezvous_shards, op8_language, op9_quality_rules, op10_near_line_dedup)}
 ORACLES: dict[str, str] = {}
