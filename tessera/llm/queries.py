@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import darts, langid, lines, mixing, quality, sharding, toxicity, urls
+from tessera.llm import darts, decontaminate, langid, lines, mixing, passages, quality, sharding, toxicity, urls
 from tessera.llm.common import held_out, kept, read, words
 
 SHARDS = 16
@@ -36,6 +36,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, "page_id", "url", urls.fit(urls.rule_labels(pages, "url"), "url", "y"))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
@@ -45,6 +49,11 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.search(docs, decontaminate.build(spark, docs, read(spark, sf_dir, "benchmark")))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.predict(docs.select("doc_id", "text"), langid.fit(docs.where(~held_out(F.col("doc_id")))))
@@ -61,5 +70,5 @@ def op10_near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_dart_minhash, op3_source_mix, op4_url_filter, op6_rendezvous_shards, op8_language, op9_quality_rules, op10_near_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_dart_minhash, op3_source_mix, op4_url_filter, op5_paragraph_dedup, op6_rendezvous_shards, op7_decontaminate, op8_language, op9_quality_rules, op10_near_line_dedup)}
 ORACLES: dict[str, str] = {}
