@@ -252,15 +252,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     Keys that occur more than once are rare and are settled apart, so that no other text is shuffled.
     """
     found = kept(classes(docs, key, text, threshold), "classes")
-    go = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("__key")).distinct()
+    other = free_name(docs, "__key")
+    go = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias(other)).distinct()
     few = go.count() <= BROADCAST
-    kept_rows = docs.join(F.broadcast(go) if few else go, docs[key] == F.col("__key"), "left_anti")
-    twice = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias("__key"))
+    kept_rows = docs.join(F.broadcast(go) if few else go, docs[key] == F.col(other), "left_anti")
+    twice = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias(other))
     if twice.isEmpty():
         return kept_rows
     few = twice.count() <= BROADCAST
     twice = F.broadcast(twice) if few else twice
-    single = kept_rows.join(twice, kept_rows[key] == F.col("__key"), "left_anti")
+    single = kept_rows.join(twice, kept_rows[key] == F.col(other), "left_anti")
     name = free_name(docs, "__node")
-    again = kept_rows.join(twice, kept_rows[key] == F.col("__key"), "left_semi").withColumn(name, F.trim(plain(F.col(text))))
+    again = kept_rows.join(twice, kept_rows[key] == F.col(other), "left_semi").withColumn(name, F.trim(plain(F.col(text))))
     return single.unionByName(again.dropDuplicates([key, name]).drop(name))

@@ -54,11 +54,11 @@ def with_copies(df: DataFrame, key: str, source: str, targets: DataFrame, seed:
 
     The per-source rows are counted first; few are broadcast, many go through a shuffle join whose hot keys Spark splits.
     """
-    names = {c: free_name(df, c) for c in ("source_size", "target", "__rate", out)}
-    small = targets.select(F.col("source").alias("__source"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), F.col("rate").alias(names["__rate"]))
+    names = {c: free_name(df, c) for c in ("__source", "source_size", "target", "__rate", out)}
+    small = targets.select(F.col("source").alias(names["__source"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), F.col("rate").alias(names["__rate"]))
     if targets.count() <= BROADCAST_SOURCES:
         small = F.broadcast(small)
-    joined = df.join(small, df[source].eqNullSafe(small["__source"])).drop("__source")
+    joined = df.join(small, df[source].eqNullSafe(small[names["__source"]])).drop(names["__source"])
     return joined.withColumn(names[out], copies(F.col(key), F.col(names["__rate"]), seed)).drop(names["__rate"])
 
 
