@@ -54,6 +54,8 @@ class LangModel:
 
 
 def log_frequencies(counts: dict[str, np.ndarray], smooth: float = 0.5) -> dict[str, np.ndarray]:
+    if not counts:
+        return {}
     total = sum(counts.values())
     base = np.log(total + smooth * len(counts))
     return {k: (np.log(v + smooth) - base).astype(np.float32) for k, v in counts.items()}
@@ -90,7 +92,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     frequent = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:WORDS]
     scores = log_frequencies(counts)
     held = sum(counts.values()) if counts else np.zeros(0)
-    return LangModel(langs, np.log((held + 1) / (held + 1).sum()) if langs else held, frequent, np.array([scores[w] for w in frequent], np.float32).reshape(-1, len(langs)), [{}, *(log_frequencies(t) for t in tables[1:])])
+    return LangModel(langs, np.log((held + 1) / (held + 1).sum()) if langs else held, frequent, np.array([scores[w] for w in frequent], np.float32).reshape(len(frequent), len(langs)), [{}, *(log_frequencies(t) for t in tables[1:])])
 
 
 def predict(docs: DataFrame, model: LangModel, key: str = "doc_id", text: str = "text") -> DataFrame:
