@@ -26,7 +26,7 @@ from tessera.llm.gru import STRIDE, WINDOW, Adam, Network, trigrams
 
 #: Training documents of each class, the characters of one, windows of each class; words of the vocabulary.
 SAMPLE, LONGEST, WINDOWS, VOCABULARY = 1_500, 30_000, 10_000, 20_000
-BATCH, THRESHOLD = 256, 0.3
+BATCH, STEPS, THRESHOLD = 256, 240, 0.3
 
 
 @dataclass
@@ -106,17 +106,18 @@ def train(texts: list[str], y: np.ndarray, rate: float, seed: int = 7) -> Model:
     label = np.repeat(y[~hold], counts)
     chosen = np.concatenate([rng.permutation(np.flatnonzero(label == c))[:WINDOWS] for c in (0, 1)])
     adam = Adam(network.p)
-    epochs = 3 if len(chosen) > 8_000 else 6
+    batch = min(BATCH, max(16, len(chosen) // 8))
+    epochs = max(3, -(-STEPS * batch // len(chosen)))
     for epoch in range(epochs):
         rng.shuffle(chosen)
         adam.rate = 0.01 * (1 - epoch / epochs) + 0.001
-        for i in range(0, len(chosen), BATCH):
-            part = wide[chosen[i : i + BATCH]]
+        for i in range(0, len(chosen), batch):
+            part = wide[chosen[i : i + batch]]
             here, spread = np.unique(part, return_inverse=True)
             spread = spread.reshape(part.shape)
             word = of_word[part]
             word[rng.random(word.shape) < 0.1] = 0  # some words are read by their characters alone
-            _, g = network.gradients(word, (np.concatenate([grams[k] for k in here]), sizes[here]), spread, label[chosen[i : i + BATCH]].astype(np.float32), part == 0)
+            _, g = network.gradients(word, (np.concatenate([grams[k] for k in here]), sizes[here]), spread, label[chosen[i : i + batch]].astype(np.float32), part == 0)
             adam.step(g)
 
     worst = worst_windows(network, word_rows(network), [t for t, h in zip(texts, hold, strict=True) if h])
