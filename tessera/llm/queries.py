@@ -71,4 +71,17 @@ def op10_near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_dart_minhash, op3_source_mix, op4_url_filter, op5_paragraph_dedup, op6_rendezvous_shards, op7_decontaminate, op8_language, op9_quality_rules, op10_near_line_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_source_mix": r"""
+        WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+          (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+        p AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
+        w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM p),
+        l AS (SELECT *, (sum(s) OVER () - coalesce(sum(3 * s) OVER o, 0))::BIGINT / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::BIGINT AS level FROM w
+          WINDOW o AS (ORDER BY 3 * s / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT *, max(CASE WHEN 3 * s > level * weight THEN level END) OVER () AS top FROM l),
+        g AS (SELECT source, s, least(3 * s, coalesce(top * weight, 3 * s))::DOUBLE AS target FROM t),
+        r AS (SELECT source, s, target, CASE WHEN s > 0 THEN least(target / s, 3.0) ELSE 0.0 END AS rate FROM g)
+        SELECT doc_id, size, s AS source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken, d.source AS source, (floor(rate) + (u < rate - floor(rate))::INT)::INT AS copies
+        FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
+}
