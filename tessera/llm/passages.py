@@ -232,6 +232,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text:
     """docs with those words, and what stands between them, cut out of the text; other columns as they were."""
     import re
 
+    columns, schema = docs.columns, docs.schema
     joined = docs.join(spans.withColumnRenamed(key, "__key"), docs[key] == F.col("__key"), "left").drop("__key").withColumnRenamed("spans", "__spans")
     word = re.compile(r"[^\W_]+")
 
@@ -249,6 +250,6 @@ def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text:
         for batch in bounded(batches, text):
             i, j = batch.schema.get_field_index(text), batch.schema.get_field_index("__spans")
             texts = [cut(t, w) if t and w else t for t, w in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True)]
-            yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type)).select(docs.columns)
+            yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type)).select(columns)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, schema)
