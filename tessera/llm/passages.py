@@ -18,6 +18,7 @@ lengths count words of the text in lower case, runs of letters and digits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,8 +231,6 @@ def spans_to_remove(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with those words, and what stands between them, cut out of the text; other columns as they were."""
-    import re
-
     columns, schema = docs.columns, docs.schema
     joined = docs.join(spans.withColumnRenamed(key, "__key"), docs[key] == F.col("__key"), "left").drop("__key").withColumnRenamed("spans", "__spans")
     word = re.compile(r"[^\W_]+")

@@ -11,6 +11,7 @@ no label at all); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -147,17 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = chosen[0].unionByName(chosen[1])
     rows = among(docs.where(F.col(text).isNotNull() & (F.length(text) <= LONGEST)).select(F.col(key), plain(F.col(text)).alias("__text")), chosen, key)
     rows = rows.join(F.broadcast(chosen), key).select("__text", "__y", key).collect()
-    rows = sorted(rows, key=lambda r: (hash_of(str(r[key])), r["__text"]))
+    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[key]).encode()), r["__text"]))
     total = sum(rates.values())
     return train([r["__text"] for r in rows], np.array([int(r["__y"]) for r in rows]), rates.get(1, 0) / total if total else 0.0)
 
 
-def hash_of(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode())
-
-
 def batch_scores(model: Model, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     ids = word_rows(model.network) if model.network else None
     for batch in bounded(batches, text):
