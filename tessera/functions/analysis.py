@@ -57,8 +57,7 @@ def is_stopword(word: Column) -> Column:
 
 def without_stopwords(tokens: Column) -> Column:
     """The tokens that aren't stop-words, in order."""
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: ~is_stopword(t))  # a hash set in the plan
 
 
 def without_single_letters(tokens: Column) -> Column:

@@ -136,17 +136,8 @@ def with_stem(df: DataFrame, word: str, out: str = "stem") -> DataFrame:
     return df.withColumn(out, stem(F.col(word)))
 
 
-def stem_tokens(df: DataFrame, key: str, tokens: str, broadcast_words: int = 500_000) -> DataFrame:
-    """df (key unique) with the tokens stemmed, empty stems left out. Only the distinct Russian words are stemmed, and only
-    documents that hold some are taken apart; a vocabulary of up to broadcast_words is broadcast, a larger one joined."""
-    russian = F.exists(tokens, lambda t: t.rlike("^[а-я]{3,}$"))
-    some, none = df.where(russian), df.where(~F.coalesce(russian, F.lit(False)))
-    words = some.select(key, F.posexplode(tokens).alias("__at", "__word"))
-    vocabulary = with_stem(words.select(F.col("__word").alias("__known")).where(is_russian(F.col("__known"))).distinct(), "__known", "__stem")
-    vocabulary = vocabulary.where("__stem <> __known")
-    small = vocabulary.limit(broadcast_words + 1).count() <= broadcast_words
-    joined = words.join(F.broadcast(vocabulary) if small else vocabulary, words["__word"] == vocabulary["__known"], "left")
-    stems = joined.select(key, "__at", F.coalesce("__stem", "__word").alias("__stem")).where("__stem <> ''")
-    again = stems.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__at", "__stem")))["__stem"].alias("__new"))
-    back = some.join(again, key, "left").withColumn(tokens, F.coalesce("__new", F.array().cast("array<string>"))).select(*df.columns)
-    return back.unionByName(none)
+def stem_tokens(tokens: Column) -> Column:
+    """The tokens stemmed in their places, empty stems left out. A narrow expression; arrays without Russian words, which one
+    search of the joined text tells, are left as they are."""
+    stemmed = F.filter(F.transform(tokens, lambda t: F.when(is_russian(t), stem(t)).otherwise(t)), lambda t: t != "")
+    return F.when(F.concat_ws(" ", tokens).rlike("[а-я]{3}"), stemmed).otherwise(tokens)

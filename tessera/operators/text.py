@@ -26,7 +26,7 @@ def analyze(docs: DataFrame, key: str, text: str, options: AnalyzerOptions = Ana
         t = analysis.without_stopwords(t)
     out = docs.select(F.col(key), t.alias("tokens"))
     if options.stem:
-        out = stem_tokens(out, key, "tokens")
+        out = out.withColumn("tokens", stem_tokens(F.col("tokens")))
     if options.drop_single:
         out = out.withColumn("tokens", analysis.without_single_letters(F.col("tokens")))
     return out

@@ -75,11 +75,11 @@ def test_full_pipeline(spark):
     assert got[2] == ["x5", "3", "the", "and"] and got[3] == [] and got[5] == []
 
 
-def test_large_vocabulary_is_joined_alike(spark):
-    from tessera.operators.stem import stem_tokens
-
-    df = docs(spark, [(1, "кидаться года года"), (2, "plain")]).select("doc_id", analysis.tokens(F.col("text")).alias("tokens"))
-    assert sorted(stem_tokens(df, "doc_id", "tokens", 0).collect()) == sorted(stem_tokens(df, "doc_id", "tokens").collect())
+def test_stemming_moves_no_rows(spark):
+    df = docs(spark, [(1, "кидаться года года"), (1, "plain"), (2, None)])
+    out = text.analyze(df, "doc_id", "text")
+    assert sorted((r["doc_id"], r["tokens"] or []) for r in out.collect()) == [(1, ["plain"]), (1, ["кид", "год", "год"]), (2, [])]
+    assert "Exchange" not in out._jdf.queryExecution().toString()
 
 
 def test_statistics_and_zipf(spark):
