@@ -68,7 +68,7 @@ class Ids(dict):
             made = self.make(self.new)
             need = self.used + len(made)
             if need > len(self.rows):
-                grown = np.empty((max(need, 2 * len(self.rows)), self.rows.shape[1]), self.rows.dtype)
+                grown = np.empty((max(need, 2 * len(self.rows)), *self.rows.shape[1:]), self.rows.dtype)
                 grown[: self.used] = self.rows[: self.used]
                 self.rows = grown
             self.rows[self.used : need] = made

@@ -50,8 +50,8 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.search(docs, decontaminate.build(spark, docs, read(spark, sf_dir, "benchmark")))
+    table = decontaminate.hashed(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return decontaminate.search(table, decontaminate.build(spark, table, read(spark, sf_dir, "benchmark")))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
