@@ -31,7 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.keep_clean(docs, decontaminate.build(spark, docs, read(spark, sf_dir, "benchmark")))
+    table = decontaminate.hashed(docs, "doc_id", "text")
+    return decontaminate.keep_clean(docs, decontaminate.build(spark, table, read(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
