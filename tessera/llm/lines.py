@@ -29,8 +29,9 @@ BROADCAST_LINES = 1_000_000
 
 def _lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """Lines of at least min_words words: key, the text's hash, place, words, and the line's identity (hash and length)."""
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("place", "line"))
-    rows = rows.select("id", "row", "place", F.array_remove(F.split(F.lower("line"), GAP), "").alias("words")).where(F.size("words") >= min_words)
+    # Words come out of the generator, so the filter on their number doesn't split the lines once more.
+    split = F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda line: F.array_remove(F.split(line, GAP), ""))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(split).alias("place", "words")).where(F.size("words") >= min_words)
     return rows.withColumn("h", F.xxhash64("words")).withColumn("chars", F.length(F.array_join("words", "")))
 
 
