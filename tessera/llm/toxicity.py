@@ -1,6 +1,6 @@
 """Toxicity of whole documents: a bidirectional recurrent network scores every window of words; the worst window counts.
 
-Windows of WINDOW words start every STRIDE words and the last ends with the text, so all words are seen, most of them
+Windows of WINDOW words start every STRIDE words and the last ends with the text, so all words are seen, half of them
 twice. The network learns which windows come from documents labelled toxic; a logistic curve over the highest logit,
 fitted on training documents that the network didn't see and weighted back to the labels' own rates, gives the score.
 
