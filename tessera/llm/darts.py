@@ -9,9 +9,10 @@ probability of their weighted Jaccard similarity.
 
 Signatures are cut into bands. Documents that share a band are candidates, each with the head of its bucket, so a bucket
 of n makes n - 1 pairs and not n * n / 2. Pairs are verified by exact weighted Jaccard of the shingles. A bucket whose
-members then lie in one component needs no more. In others, the best-linked member is compared with all members of other
-components, and if that still leaves several components, the rest of the pairs across components whose sizes allow the
-threshold. So no link between different components is lost among candidates.
+members then lie in one component needs no more. In others, all members outside the largest component are compared with one
+member of it, drawn anew for each bucket and round, and what still is in several components is joined by bucket on the
+similarity itself, across components alone, unless a text has so many shingles to itself that the threshold is out of reach. So no link between components is lost among
+candidates, while a large group of copies makes few pairs.
 
 Defined results: a text of one to four words is one shingle; texts without words are copies of one another; a null text
 is a class of its own with every other null text's row apart; equal words make equal texts; an empty table gives an empty
@@ -35,6 +36,7 @@ from tessera.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 #: 20 bands of 5 find a pair of similarity 0.8 with a probability of 0.9996.
 BANDS, ROWS = 20, 5
+HUB_ROUNDS = 5
 #: Ids or pairs up to so many are broadcast (under 100 MB); more are joined by shuffle.
 BROADCAST = 1_000_000
 
@@ -223,19 +225,43 @@ def node_classes(table: DataFrame, docs: DataFrame, text: str, threshold: float)
 
     tested = best.select("a", "b")
     more(pairs.select("a", "b"))
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    rows = kept(open_buckets().join(degree, "node", "left"), "open")
-    if not rows.isEmpty():
-        hubs = rows.groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node"))["node"].alias("hub"))
-        star = rows.join(hubs, "band").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-        more(star)
+    for number in range(HUB_ROUNDS):
         rows = kept(open_buckets(), "open")
-        x, y = (rows.select("band", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("component").alias(f"k{n}")) for n in "ab")
-        fits = (F.col("sa") >= F.col("sb") * threshold) & (F.col("sb") >= F.col("sa") * threshold)
-        more(x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & fits).select("a", "b").distinct())
+        if rows.isEmpty():
+            return parts
+        sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+        order = F.struct(F.coalesce("members", F.lit(1)), F.xxhash64(F.lit(number), "band", "node"), "node")
+        hubs = rows.join(sizes, "component", "left").groupBy("band").agg(F.max(order)["node"].alias("hub"), F.max_by("component", order).alias("own"))
+        star = rows.join(hubs, "band").where("component <> own").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        if not more(star):
+            break
+    rows = open_buckets()
+    elements = _elements(units, rows.select("node").distinct())
+    single = elements.select(F.explode("elements").alias("unit"), "node").groupBy("unit").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    rows = rows.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+    rows = kept(rows.where(F.col("common") >= F.col("size") * threshold).join(elements, "node"), "open")
+    x, y = (rows.select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component", "elements"))) for n in "ab")
+    across = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
+    # Two texts have no more in common than the shingles of either that any other text has.
+    possible = F.least("a_common", "b_common") * (1 + threshold) >= (F.col("a_size") + F.col("b_size")) * threshold
+    shared = F.size(F.array_intersect("a_elements", "b_elements"))
+    alike = F.when(possible, shared * (1 + threshold) >= (F.col("a_size") + F.col("b_size")) * threshold - 1).otherwise(False)
+    more(x.join(y, "band").where(across & alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
     return parts
 
 
+def _elements(units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its units as an array, for the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "units"):
+            found = [np.frombuffer(u, np.int32) for u in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["node", "elements"])
+
+    return _chosen(units, nodes, nodes.count() <= BROADCAST).select("node", "units").mapInArrow(run, "node long, elements array<int>")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of docs: key, node and class_id, the least key of its class; a null text's class is its own key."""
     table = kept(signed(docs, key, text), "signed")
