@@ -23,46 +23,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import bounded, plain
+from tessera.llm.batches import Ids, bounded, plain, word_ids
 from tessera.llm.common import kept
 from tessera.llm.components import components
-from tessera.llm.darts import SHINGLE, Hashes, mixed
+from tessera.llm.darts import SHINGLE, mixed
 
 THRESHOLD, LINE_WORDS, REACH, RUN_WORDS = 0.8, 24, 5, 16
-#: 5 bands of 2 find a pair of similarity 0.8 with a probability of 0.994.
-BANDS, ROWS = 5, 2
-BROADCAST = 1_000_000
+#: 5 bands of 3 find a pair of similarity 0.8 with a probability of 0.972, one of 0.9 with 0.999.
+BANDS, ROWS = 5, 3
+#: Tables up to so many rows are broadcast (under 10 MB); larger ones are joined by shuffle.
+BROADCAST = 50_000
 LETTERS = r"\p{L}\p{N}\n"
 _ODD = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cuts(h: np.ndarray) -> np.ndarray:
-    """The places just after the cuts, with 0 and the length around them."""
-    n = len(h)
-    if n <= 2 * REACH:
-        return np.array([0, n])
-    mid = h[REACH : n - REACH]
-    least = np.ones(len(mid), bool)
-    for k in range(1, REACH + 1):
-        least &= (mid < h[REACH - k : n - REACH - k]) & (mid <= h[REACH + k : n - REACH + k])
-    return np.concatenate([[0], np.flatnonzero(least) + REACH + 1, [n]])
-
+class Texts:
+    """The words of a batch of `plain` texts, one after another, as hashes: of each the text, and whether it ends a line.
+
+    All texts are split at once, with marks between lines and texts that no plain text holds.
+    """
+
+    LINE, TEXT = "\x00", "\x01"
+
+    def __init__(self, ids: Ids, texts: list[str | None]):
+        joined = f" {self.TEXT} ".join(t or "" for t in texts).replace("\n", f" {self.LINE} ")
+        at = word_ids(ids, joined)
+        rows = ids.settle()
+        word = at > 1
+        self.words = rows[at[word]]
+        ids.trim()
+        self.text = np.cumsum(at == 1)[word]
+        line = np.cumsum(at <= 1)[word]
+        self.ends_line = np.append(line[1:] != line[:-1], True) if len(line) else np.empty(0, bool)
+        self.sizes = np.bincount(self.text, minlength=len(texts))
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    @classmethod
+    def ids(cls) -> Ids:
+        return Ids([cls.LINE, cls.TEXT], np.zeros(2, np.uint64), lambda words: np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+
+    def cuts(self) -> np.ndarray:
+        """Whether each word is a cut: the least of the words within REACH, all of its own text."""
+        h, n = self.words, len(self.words)
+        out = np.zeros(n, bool)
+        if n <= 2 * REACH:
+            return out
+        mid = h[REACH : n - REACH]
+        least = (self.text[: n - 2 * REACH] == self.text[REACH : n - REACH]) & (self.text[2 * REACH :] == self.text[REACH : n - REACH])
+        for k in range(1, REACH + 1):
+            least &= (mid < h[REACH - k : n - REACH - k]) & (mid <= h[REACH + k : n - REACH + k])
+        out[REACH : n - REACH] = least
+        return out
 
-def paragraphs(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a text, and start, length and kind (1 line, 0 segment) of its paragraphs of five words or more."""
-    words = np.concatenate(lines) if lines else np.empty(0, np.uint64)
-    at = cuts(words)
-    sizes = np.array([len(x) for x in lines], np.int64)
-    ends = np.cumsum(sizes)
-    start = np.concatenate([at[:-1], (ends - sizes)[sizes >= LINE_WORDS]])
-    n = np.concatenate([np.diff(at), sizes[sizes >= LINE_WORDS]])
-    kind = np.concatenate([np.zeros(len(at) - 1, np.int8), np.ones(int((sizes >= LINE_WORDS).sum()), np.int8)])
-    some = n >= SHINGLE
-    return words, start[some], n[some], kind[some]
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start (among all words), length and kind (1 line, 0 segment) of the paragraphs of five words or more."""
+        if not len(self.words):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        ends_text = np.append(self.text[1:] != self.text[:-1], True)
+        found = []
+        for kind, ends, least in ((0, self.cuts() | ends_text, SHINGLE), (1, self.ends_line, LINE_WORDS)):
+            end = np.flatnonzero(ends) + 1
+            start = np.append(0, end[:-1])
+            some = end - start >= least
+            found.append((start[some], (end - start)[some], np.full(int(some.sum()), kind, np.int32)))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -107,12 +136,6 @@ def bands(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def each_text(hashes: Hashes, texts: list[str | None]) -> Iterator[tuple]:
-    for text in texts:
-        lines = hashes.of((text or "").split("\n"))
-        yield paragraphs([x for x in lines if len(x)])
-
-
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), plain(F.col(text), LETTERS).alias("__text"))
 
@@ -122,12 +145,12 @@ def records(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind_of_id = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        ids = Texts.ids()
         for batch in bounded(batches, "__text"):
-            found = [(s, n, k, nodes(w, s, n)) for w, s, n, k in each_text(hashes, batch.column(1).to_pylist())]
-            rows = np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found])
-            start, n, kind, node = (np.concatenate([f[i] for f in found]) for i in range(4))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(kind.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(node)], ["id", "kind", "start", "n", "node"])
+            t = Texts(ids, batch.column(1).to_pylist())
+            start, n, kind = t.paragraphs()
+            row = t.text[start]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(kind), pa.array(start - t.first[row]), pa.array(n), pa.array(nodes(t.words, start, n))], ["id", "kind", "start", "n", "node"])
 
     return _source(docs, key, text).mapInArrow(run, f"id {kind_of_id}, kind int, start long, n long, node long")
 
@@ -136,11 +159,12 @@ def banded(docs: DataFrame, key: str, text: str) -> DataFrame:
     """band, node: the buckets that each different paragraph falls into, told once in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        ids = Texts.ids()
         for batch in bounded(batches, "__text"):
-            found = [(nodes(w, s, n), bands(w, s, n)) for w, s, n, _ in each_text(hashes, batch.column(1).to_pylist())]
-            node, once = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
-            keys = np.concatenate([f[1] for f in found])[once]
+            t = Texts(ids, batch.column(1).to_pylist())
+            start, n, _ = t.paragraphs()
+            node, once = np.unique(nodes(t.words, start, n), return_index=True)
+            keys = bands(t.words, start[once], n[once])
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(node, BANDS))], ["band", "node"])
 
     return _source(docs, key, text).mapInArrow(run, "band long, node long")
@@ -153,20 +177,19 @@ def shingle_sets(docs: DataFrame, key: str, text: str, places: DataFrame) -> Dat
     rows = rows.join(F.broadcast(by_doc) if places.count() <= BROADCAST else by_doc, "id").select("__text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        ids = Texts.ids()
         for batch in bounded(batches, "__text"):
-            out_node, out = [], []
-            for (words, *_), want in zip(each_text(hashes, batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
-                if len(words) < SHINGLE:
-                    continue
-                shingles = shingle_hashes(words)
-                for w in want:
-                    s, n = w["start"], w["n"]
-                    # A row of the same id with another text has other words there.
-                    if s + n <= len(words) and nodes(words, np.array([s]), np.array([n]))[0] == w["node"]:
-                        out_node.append(w["node"])
-                        out.append(np.unique(shingles[s : s + n - SHINGLE + 1]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
+            t = Texts(ids, batch.column(0).to_pylist())
+            want = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(want.offsets.to_numpy()))
+            start, n, node = (want.flatten().field(k).to_numpy() for k in ("start", "n", "node"))
+            there = start + n <= t.sizes[row]  # a row of the same id with another text has other words there
+            start, n, node = start[there] + t.first[row[there]], n[there], node[there]
+            same = nodes(t.words, start, n) == node
+            start, n, node = start[same], n[same], node[same]
+            shingles = shingle_hashes(t.words) if len(node) else None
+            sets = [np.unique(shingles[s : s + m - SHINGLE + 1]).tobytes() for s, m in zip(start.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return rows.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -197,7 +220,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     pairs = banded(docs, key, text).withColumn("head", head).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     pairs = kept(pairs, "paragraph-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    few = pairs.count() <= BROADCAST // 2
+    few = wanted.count() <= BROADCAST
     places = found.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "start", "n")).alias("at"))
     places = kept(places.select("node", "at.id", "at.start", "at.n"), "paragraph-places")
     sets = kept(shingle_sets(docs, key, text, places), "paragraph-sets")
