@@ -9,9 +9,11 @@ Variants of every word of every line would be many times the text. One edit leav
 that share neither half (for their own length or one less) with another line can't have a partner and emit no variants,
 and the others emit them in the changed half alone. This prefilter loses nothing.
 
-A line is dropped if the same line, or a near one, comes earlier in the order of (id, place in the text). Defined results:
-lines of under MIN_WORDS words always stay; a null text has no lines; a null id sorts first; rows repeated whole share
-their fate; an empty table gives an empty result.
+A line is dropped if the same line, or a near one, comes earlier in the order of (id, place in the text). Lines of under
+`min_words` words have no near lines, as one edit would make most of them alike; the same line is looked for from
+`exact_words` words on (from min_words if that is None; 1 takes every line that has a word). Defined results: empty lines
+always stay; a null text has no lines; a null id sorts first; rows repeated whole share their fate; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -75,11 +77,12 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), rest(a, p + 1) == rest(b, p + 1)).when(F.size(long_) == F.size(short) + 1, rest(short, p) == rest(long_, p + 1)).otherwise(False)
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """id, row (hash of the text), place of every line that goes, and the id and place of the line that it repeats."""
     n = F.size("words")
-    rows = _lines(docs, key, text, min_words)
-    at = kept(rows.select("id", "row", "place", "h", "chars", F.array(*(k for _, k in _halves(F.col("words"), n))).alias("halves")), "lines")
+    rows = _lines(docs, key, text, min_words if exact_words is None else min(exact_words, min_words))
+    halves = F.when(n >= min_words, F.array(*(k for _, k in _halves(F.col("words"), n))))  # without halves a line is near none
+    at = kept(rows.select("id", "row", "place", "h", "chars", halves.alias("halves")), "lines")
     first = F.min(F.struct("id", "place")).alias("first")
     distinct = kept(at.groupBy("h", "chars").agg(first, F.first("halves").alias("halves")), "distinct-lines")
 
@@ -109,9 +112,9 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return out.select("id", "row", "place", F.col("witness.id").alias("first_id"), F.col("witness.place").alias("first_place"))
 
 
-def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """A row for each document: key, n_lines, n_dropped, dropped (places in order), first_ids (where they stay)."""
-    gone = dropped_lines(docs, key, text, min_words).distinct()
+    gone = dropped_lines(docs, key, text, min_words, exact_words).distinct()
     gone = gone.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct("place", "first_id"))).alias("gone"))
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row"), F.size(F.split(F.col(text), "\n")).alias("n"))
     joined = rows.join(gone, rows["id"].eqNullSafe(gone["id"]) & (rows["row"] == gone["row"]), "left")
@@ -119,9 +122,9 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     return joined.select(rows["id"].alias(key), F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.size(found).cast("long").alias("n_dropped"), found["place"].alias("dropped"), F.array_distinct(found["first_id"]).alias("first_ids"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """docs with the dropped lines taken out of the text, and all other columns as they were."""
-    gone = dropped_lines(docs, key, text, min_words).distinct().groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("place").alias("__gone"))
+    gone = dropped_lines(docs, key, text, min_words, exact_words).distinct().groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("place").alias("__gone"))
     joined = docs.join(gone, docs[key].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text]) == gone["__row"]), "left")
     left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i))
     return joined.select(*(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text else docs[c] for c in docs.columns))

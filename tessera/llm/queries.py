@@ -67,7 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup_report(read(spark, sf_dir, "documents").select("doc_id", "text"), exact_words=1)
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_dart_minhash, op3_source_mix, op4_url_filter, op5_paragraph_dedup, op6_rendezvous_shards, op7_decontaminate, op8_language, op9_quality_rules, op10_near_line_dedup)}

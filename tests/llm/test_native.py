@@ -338,3 +338,25 @@ def test_lines_edges(spark):
     got = sorted((r["doc_id"] or 0, r["n_dropped"]) for r in lines.dedup_report(spark.createDataFrame(rows, DOC)).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 0)]
     assert lines.dedup_report(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_short_lines_repeat_exactly(spark, tmp_path):
+    """Of short lines exact repeats go, whatever their length, and near ones stay; longer ones are near as before."""
+    long = "one two three four five six seven eight nine"
+    rows = [(1, "Read more\nfoot\n" + long), (2, "read  MORE\nread less\n\n\n" + long + " ten"), (3, "foot\nfour words of five"), (4, "four words of six\nFoot\n "), (5, None)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_dropped"], r["dropped"], r["first_ids"]) for r in queries.op10_near_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, [], []), 2: (2, [0, 4], [1]), 3: (1, [0], [1]), 4: (1, [1], [1]), 5: (0, [], [])}
+    left = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, DOC), exact_words=1).collect()}
+    assert left == {1: rows[0][1], 2: "read less\n\n", 3: "four words of five", 4: "four words of six\n ", 5: None}
+
+
+def test_line_query_drops_every_exact_repeat(spark, sf):
+    seen, want = set(), set()
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        for place, line in enumerate((r["text"] or "").lower().split("\n")):
+            key = tuple(WORD.findall(line))
+            if key and key in seen:
+                want.add((r["doc_id"], place))
+            seen.add(key)
+    assert any(want) and want <= {(r["doc_id"], p) for r in queries.op10_near_line_dedup(spark, sf).collect() for p in r["dropped"]}
