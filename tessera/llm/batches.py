@@ -38,11 +38,11 @@ def bounded(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
 
 
 def pieces(text: str) -> Iterator[str]:
-    """The text in parts of about PIECE characters, cut at white space where there is any within reach."""
+    """The text in parts of about PIECE characters, cut at white space alone, so that no word depends on what is around it."""
     start = 0
     while len(text) - start > PIECE:
-        gap = re.compile(r"\s").search(text, start + PIECE, start + PIECE + 4096)
-        end = gap.start() if gap else start + PIECE
+        gap = re.compile(r"\s").search(text, start + PIECE)
+        end = gap.start() if gap else len(text)
         yield text[start:end]
         start = end
     yield text[start:] if start else text
@@ -88,9 +88,9 @@ LONGEST = 32
 
 
 def split_words(piece: str) -> list[str]:
-    """The words of a `plain` text."""
+    """The words of a `plain` text; each word alone decides whether it is cut."""
     words = piece.split()
-    if len(piece) > 12 * len(words) and any(len(w) > LONGEST for w in words):
+    if max(map(len, words), default=0) > LONGEST:
         words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
     return words
 

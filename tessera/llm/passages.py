@@ -13,7 +13,7 @@ place) stays and the others go.
 
 Defined results: null texts and texts under five words have no paragraphs; repetition within one document doesn't count;
 rows with one id count as one document; rows with a null id are left out; an empty table gives an empty result. Places and
-lengths count words of the text in lower case, runs of letters and digits.
+lengths count words of the text in lower case, runs of letters and digits, cut after every LONGEST characters.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import Ids, bounded, plain, word_ids
+from tessera.llm.batches import LONGEST, Ids, bounded, plain, word_ids
 from tessera.llm.common import kept
 from tessera.llm.components import components
 from tessera.llm.darts import SHINGLE, mixed
@@ -256,7 +256,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text:
     """docs with those words, and what stands between them, cut out of the text; other columns as they were."""
     columns, schema = docs.columns, docs.schema
     joined = docs.join(spans.withColumnRenamed(key, "__key"), docs[key] == F.col("__key"), "left").drop("__key").withColumnRenamed("spans", "__spans")
-    word = re.compile(r"[^\W_]+")
+    word = re.compile(rf"[^\W_]{{1,{LONGEST}}}")  # long words count as `split_words` cuts them
 
     def cut(body: str, want: list[dict]) -> str:
         at = [(m.start(), m.end()) for m in word.finditer(body)]

@@ -194,6 +194,34 @@ def test_passage_query(spark, sf):
     assert len(flagged & must) >= 0.97 * len(must) and flagged <= repeats(rows, passages.RUN_WORDS)
 
 
+def test_long_words_are_the_same_in_any_batch():
+    rng = random.Random(8)
+    odd = " ".join("".join(rng.choice("abcdef") for _ in range(40)) for _ in range(30))
+    plain_english = "the cat sat on a mat " * 400
+    seen = []
+    for texts in ([odd], [odd, plain_english], [plain_english, odd + "\n" + odd[:9], "x" * 70]):
+        t = passages.Texts(passages.Texts.ids(), texts)
+        k = texts.index(next(x for x in texts if x.startswith(odd)))
+        seen.append(t.words[t.first[k] : t.first[k] + 60].tolist())
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 60
+    # A long word at the end of a piece is cut as anywhere else.
+    from tessera.llm import batches
+
+    far = "b" * 9000
+    alone = [w for p in batches.pieces(far) for w in batches.split_words(p)]
+    assert [w for p in batches.pieces("a " * (batches.PIECE // 2 - 7) + far) for w in batches.split_words(p)][-len(alone) :] == alone
+
+
+def test_spans_count_cut_words(spark):
+    rng = random.Random(9)
+    shared = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))
+    long = "q" * 100
+    rows = [(1, shared), (2, f"{long} start\n{shared}\nend {long}")]
+    df = spark.createDataFrame(rows, DOC)
+    left = {r["doc_id"]: r["text"] for r in passages.without_spans(df, passages.spans_to_remove(df)).collect()}
+    assert left[1] == shared and not set(left[2].split()) & set(shared.split()[6:-6]) and left[2].startswith(f"{long} start") and left[2].endswith(f"end {long}")
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
