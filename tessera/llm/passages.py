@@ -236,13 +236,18 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Repeated passages: key, start, n_words, n_paragraphs, classes, first_ids, and whether any of it goes (removed)."""
     rows = kept(repeated(docs, key, text, threshold), "repeated")
-    order = Window.partitionBy("id", "kind").orderBy("start", "n")
-    # A line stands alone; a segment goes on with the run if it starts where the one before ends.
-    fresh = F.when((F.col("kind") == 0) & (F.lag(F.col("start") + F.col("n")).over(order) >= F.col("start")), 0).otherwise(1)
-    runs = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
     gone = (F.col("id") != F.col("first_id")) | (F.col("start") != F.col("first_start"))
-    out = runs.groupBy("id", "kind", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n_words"), F.count(F.lit(1)).alias("n_paragraphs"), F.sort_array(F.collect_set("class")).alias("classes"), F.sort_array(F.collect_set("first_id")).alias("first_ids"), F.max(gone).alias("removed"))
-    out = out.where(F.col("n_words") >= RUN_WORDS)
+    rows = rows.withColumn("end", F.col("start") + F.col("n")).withColumn("gone", gone)
+    order = Window.partitionBy("id", "kind").orderBy("start", "n")
+    # A line stands alone; a segment goes on with the run if it starts where one before ends. A run's size counts as a
+    # whole, but what goes and what stays of it are parts of their own.
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when((F.col("kind") == 0) & (before >= F.col("start")), 0).otherwise(1)
+    runs = rows.withColumn("fresh", fresh).withColumn("turn", F.when((F.col("fresh") == 0) & (F.lag("gone").over(order) == F.col("gone")), 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("fresh").over(order)).withColumn("part", F.sum("turn").over(order))
+    parts = runs.groupBy("id", "kind", "run", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_paragraphs"), F.sort_array(F.collect_set("class")).alias("classes"), F.sort_array(F.collect_set("first_id")).alias("first_ids"), F.first("gone").alias("removed"))
+    whole = Window.partitionBy("id", "kind", "run")
+    out = parts.withColumn("run_words", F.max("end").over(whole) - F.min("start").over(whole)).where(F.col("run_words") >= RUN_WORDS).withColumn("n_words", F.col("end") - F.col("start"))
     return out.select(F.col("id").alias(key), F.when(F.col("kind") == 1, "line").otherwise("run").alias("kind"), "start", "n_words", "n_paragraphs", "classes", "first_ids", "removed")
 
 

@@ -222,6 +222,21 @@ def test_spans_count_cut_words(spark):
     assert left[1] == shared and not set(left[2].split()) & set(shared.split()[6:-6]) and left[2].startswith(f"{long} start") and left[2].endswith(f"end {long}")
 
 
+def test_what_comes_first_stays_beside_what_goes(spark):
+    rng = random.Random(10)
+    say = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    p, x = say(90), say(90)
+    rows = [(1, f"{p} {say(40)}"), (5, f"{say(30)} {p} {x} {say(30)}"), (9, f"{say(35)} {p} {x} {say(30)}")]
+    df = spark.createDataFrame(rows, DOC)
+    left = {r["doc_id"]: r["text"].split() for r in passages.without_spans(df, passages.spans_to_remove(df)).collect()}
+    assert set(p.split()) <= set(left[1]) and len(left[1]) == 130
+    inner = x.split()[24:]  # a segment may lie across the border of p and x
+    assert set(inner) <= set(left[5]) and set(p.split()[24:66]).isdisjoint(left[5])
+    assert set(x.split()[:66]).isdisjoint(left[9]) and set(p.split()[24:]).isdisjoint(left[9])
+    got = [r for r in passages.report(df).collect() if r["kind"] == "run" and r["doc_id"] == 5]
+    assert {r["removed"] for r in got} == {True, False}
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
