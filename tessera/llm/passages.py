@@ -33,8 +33,8 @@ from tessera.llm.components import components
 from tessera.llm.darts import SHINGLE, mixed
 
 THRESHOLD, LINE_WORDS, REACH, RUN_WORDS = 0.8, 24, 5, 16
-#: 5 bands of 3 find a pair of similarity 0.8 with a probability of 0.972, one of 0.9 with 0.999.
-BANDS, ROWS = 5, 3
+#: 5 bands of 2 find a pair of similarity 0.8 with a probability of 0.994, one of 0.9 with 0.9998.
+BANDS, ROWS = 5, 2
 #: Tables up to so many rows are broadcast (under 10 MB); larger ones are joined by shuffle.
 BROADCAST = 50_000
 LETTERS = r"\p{L}\p{N}\n"

@@ -237,6 +237,17 @@ def test_what_comes_first_stays_beside_what_goes(spark):
     assert {r["removed"] for r in got} == {True, False}
 
 
+def test_bands_find_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    found, pairs = 0, 4000
+    for _ in range(pairs):  # 45 shingles, of which 40 are shared: similarity 0.8
+        words = rng.integers(0, 2**63, 49, dtype=np.uint64)
+        both = np.concatenate([words, words[5:], rng.integers(0, 2**63, 5, dtype=np.uint64)])
+        keys = passages.bands(both, np.array([0, 49]), np.array([49, 49]))
+        found += bool((keys[0] == keys[1]).any())
+    assert found >= 0.988 * pairs  # 0.994 expected
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
