@@ -4,7 +4,9 @@ Paragraphs come in two sizes: the lines of LINE_WORDS words or more, and the seg
 content-defined cuts. A word is a cut if its hash is the least within REACH words on either side, so a passage has the
 same cuts wherever it is pasted, in the midst of a line too. Both are sets of five-word shingles. Paragraphs of the same
 words are one node; different nodes that share a band of their MinHash signatures are compared, each with the head of its
-bucket, by exact Jaccard; nodes linked at THRESHOLD or more fall into classes by connected components.
+bucket, by exact Jaccard; nodes linked at THRESHOLD or more fall into classes by connected components. Buckets whose nodes
+then lie in several components go on: with random members of the largest component, and at last by a join of each bucket on
+the similarity across components, so no link between two classes is lost among candidates.
 
 A class repeats if it holds paragraphs of two documents. Adjacent repeated segments form a run; runs of RUN_WORDS words or
 more and repeated lines are reported. A passage of over 50 words holds such a run with a probability of about 0.97, one of
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.batches import LONGEST, Ids, bounded, plain, word_ids
 from tessera.llm.common import kept
 from tessera.llm.components import components
-from tessera.llm.darts import SHINGLE, mixed
+from tessera.llm.darts import HUB_ROUNDS, SHINGLE, mixed
 
 THRESHOLD, LINE_WORDS, REACH, RUN_WORDS = 0.8, 24, 5, 16
 #: 5 bands of 2 find a pair of similarity 0.8 with a probability of 0.994, one of 0.9 with 0.9998.
@@ -213,18 +215,82 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def reachable(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """rows (band, node) with size, common and elements of the nodes, without those that have too much to themselves.
+
+    A similarity is at most the share of a node's shingles that any other node has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "shingles"):
+            found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["node", "size", "elements"])
+
+    own = sets.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, size int, elements array<bigint>")
+    own = kept(own, "paragraph-elements")
+    single = own.select(F.explode("elements").alias("unit"), "node").groupBy("unit").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    own = own.join(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+    return rows.join(own.where(F.col("common") >= F.col("size") * threshold).drop("alone"), "node")
+
+
+def joined_classes(buckets: DataFrame, sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """node, component: buckets (band, head a, node b) settled beyond the links with their heads, as darts.node_classes does."""
+    parts = components(links)
+    large = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")  # two nodes are settled
+    large = buckets.join(large, "band")
+    members = large.select("band", F.col("b").alias("node")).unionByName(large.select("band", F.col("a").alias("node")).distinct())
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        placed = rows.drop("component").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+        return kept(placed.join(several, "band"), "paragraph-open")
+
+    def more(found: DataFrame) -> bool:
+        nonlocal links, parts
+        if found.isEmpty():
+            return False
+        links = links.unionByName(found)
+        parts = components(links)
+        return True
+
+    rows = still_open(members)
+    if rows.isEmpty():
+        return parts
+    rows = kept(reachable(rows.select("band", "node"), sets, threshold), "paragraph-reach")
+    for number in range(HUB_ROUNDS):
+        rows = still_open(rows)
+        if rows.isEmpty():
+            return parts
+        sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+        order = F.struct(F.coalesce("members", F.lit(1)), F.xxhash64(F.lit(number), "band", "node"), "node")
+        hubs = rows.select("band", "node", "component").join(sizes, "component", "left").groupBy("band").agg(F.max(order)["node"].alias("hub"), F.max_by("component", order).alias("own"))
+        star = rows.select("band", "node", "component").join(hubs, "band").where("component <> own").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        if not more(kept(verified(star, sets, threshold), "paragraph-links")):
+            break
+    rows = still_open(rows)
+    x, y = (rows.select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component", "elements"))) for n in "ab")
+    across = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
+    both = F.col("a_size") + F.col("b_size")
+    possible = F.least("a_common", "b_common") * (1 + threshold) >= both * threshold - 1e-6
+    shared = F.size(F.array_intersect("a_elements", "b_elements"))
+    alike = F.when(possible, shared >= (both - shared) * threshold).otherwise(False)
+    more(kept(x.join(y, "band").where(across & alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "paragraph-links"))
+    return parts
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, kind, start, n, class (least node), first_id and first_start of all paragraphs whose class spans documents."""
     found = kept(records(docs, key, text), "paragraphs")
     head = F.min("node").over(Window.partitionBy("band"))
-    pairs = banded(docs, key, text).withColumn("head", head).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = kept(pairs, "paragraph-pairs")
+    buckets = banded(docs, key, text).withColumn("head", head).where("node <> head").distinct()
+    buckets = kept(buckets.select("band", F.col("head").alias("a"), F.col("node").alias("b")), "paragraph-buckets")
+    pairs = kept(buckets.select("a", "b").distinct(), "paragraph-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     few = wanted.count() <= BROADCAST
     places = found.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "start", "n")).alias("at"))
     places = kept(places.select("node", "at.id", "at.start", "at.n"), "paragraph-places")
     sets = kept(shingle_sets(docs, key, text, places), "paragraph-sets")
-    parts = components(kept(verified(pairs, sets, threshold), "paragraph-links"))
+    parts = joined_classes(buckets, sets, kept(verified(pairs, sets, threshold), "paragraph-links"), threshold)
     few = parts.count() <= BROADCAST
     placed = found.join(F.broadcast(parts) if few else parts, "node", "left").select("id", "kind", "start", "n", F.coalesce("component", "node").alias("class"))
     spans = placed.groupBy("class").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").drop("last_id")

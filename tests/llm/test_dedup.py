@@ -248,6 +248,18 @@ def test_bands_find_pairs_at_the_threshold():
     assert found >= 0.988 * pairs  # 0.994 expected
 
 
+def test_buckets_are_settled_beyond_their_heads(spark):
+    """A and B are alike, and the head of their bucket, a third node, is like neither."""
+    words = lambda *parts: np.concatenate([np.arange(a, b, dtype=np.int64) for a, b in parts])
+    sets = {1: words((0, 40), (100, 140)), 2: words((0, 40), (200, 240)), 3: words((0, 40), (200, 238), (300, 302)), 4: words((0, 40), (400, 440)), 5: words((0, 40), (400, 439), (500, 501))}
+    table = spark.createDataFrame([(n, bytearray(x.tobytes())) for n, x in sets.items()], "node long, shingles binary")
+    buckets = spark.createDataFrame([(7, 1, n) for n in (2, 3, 4, 5)], "band long, a long, b long")
+    links = passages.verified(buckets.select("a", "b"), table, 0.8)
+    assert links.count() == 0
+    got = {r["node"]: r["component"] for r in passages.joined_classes(buckets, table, links, 0.8).collect()}
+    assert got == {2: 2, 3: 2, 4: 4, 5: 4}
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
