@@ -8,9 +8,14 @@ bucket, by exact Jaccard; nodes linked at THRESHOLD or more fall into classes by
 then lie in several components go on: with random members of the largest component, and at last by a join of each bucket on
 the similarity across components, so no link between two classes is lost among candidates.
 
-A class repeats if it holds paragraphs of two documents. Adjacent repeated segments form a run; runs of RUN_WORDS words or
-more and repeated lines are reported. A passage of over 50 words holds such a run with a probability of about 0.97, one of
-60 words 0.995; boilerplate of under RUN_WORDS words is left alone. In each class the paragraph that comes first by (id,
+Segments alone would miss some passages by chance, so texts also give anchors: of any WINDOW successive runs of RUN_WORDS
+words the one of least hash. Any RUN_WORDS + WINDOW - 1 = 25 words that two documents share give both the same anchor, and so
+does one side of a passage of 51 words with a word changed. An anchor is a node that is alike to itself alone.
+
+A class repeats if it holds paragraphs of two documents. Adjacent repeated segments and anchors form a run; runs of
+RUN_WORDS words or more and repeated lines are reported, cut where what goes meets what stays. Passages of over 50 words are
+always found, but the first and last WINDOW - 1 words of one pasted within a line may lie outside its run, and a changed word
+ends a run. Boilerplate of under RUN_WORDS words is left alone. In each class the paragraph that comes first by (id,
 place) stays and the others go.
 
 Defined results: null texts and texts under five words have no paragraphs; repetition within one document doesn't count;
@@ -34,7 +39,7 @@ from tessera.llm.common import kept
 from tessera.llm.components import components
 from tessera.llm.darts import HUB_ROUNDS, SHINGLE, mixed
 
-THRESHOLD, LINE_WORDS, REACH, RUN_WORDS = 0.8, 24, 5, 16
+THRESHOLD, LINE_WORDS, REACH, RUN_WORDS, WINDOW = 0.8, 24, 5, 16, 10
 #: 5 bands of 2 find a pair of similarity 0.8 with a probability of 0.994, one of 0.9 with 0.9998.
 BANDS, ROWS = 5, 2
 #: Tables up to so many rows are broadcast (under 10 MB); larger ones are joined by shuffle.
@@ -95,6 +100,22 @@ class Texts:
             found.append((start[some], (end - start)[some], np.full(int(some.sum()), kind, np.int32)))
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start (among all words) and node of the anchors, in the same places whatever else is in the batch."""
+        if len(self.words) < RUN_WORDS:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        runs, width = self.words, 1
+        while width < RUN_WORDS:
+            runs = mixed(runs[:-width]) + runs[width:]
+            width *= 2
+        most = np.uint64(np.iinfo(np.uint64).max)
+        own = self.text[RUN_WORDS - 1 :] == self.text[: len(runs)]  # between two texts WINDOW or more runs are of no text
+        runs = np.where(own, mixed(runs), most)
+        edge = np.full(WINDOW - 1, most)
+        least = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, runs, edge]), WINDOW).min(axis=1)
+        start = np.flatnonzero(own & (np.lib.stride_tricks.sliding_window_view(least, WINDOW).max(axis=1) == runs))
+        return start, runs[start].view(np.int64)
+
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places of all paragraphs, one after another."""
@@ -143,7 +164,7 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def records(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, kind, start, n and node of every paragraph."""
+    """id, kind (1 line, 0 segment, 2 anchor), start, n and node of every paragraph."""
     kind_of_id = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +172,11 @@ def records(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in bounded(batches, "__text"):
             t = Texts(ids, batch.column(1).to_pylist())
             start, n, kind = t.paragraphs()
+            node, (more, its_node) = nodes(t.words, start, n), t.anchors()
+            start, n = np.concatenate([start, more]), np.concatenate([n, np.full(len(more), RUN_WORDS)])
+            kind, node = np.concatenate([kind, np.full(len(more), 2, np.int32)]), np.concatenate([node, its_node])
             row = t.text[start]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(kind), pa.array(start - t.first[row]), pa.array(n), pa.array(nodes(t.words, start, n))], ["id", "kind", "start", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(kind), pa.array(start - t.first[row]), pa.array(n), pa.array(node)], ["id", "kind", "start", "n", "node"])
 
     return _source(docs, key, text).mapInArrow(run, f"id {kind_of_id}, kind int, start long, n long, node long")
 
@@ -303,9 +327,9 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """Repeated passages: key, start, n_words, n_paragraphs, classes, first_ids, and whether any of it goes (removed)."""
     rows = kept(repeated(docs, key, text, threshold), "repeated")
     gone = (F.col("id") != F.col("first_id")) | (F.col("start") != F.col("first_start"))
-    rows = rows.withColumn("end", F.col("start") + F.col("n")).withColumn("gone", gone)
+    rows = rows.withColumn("end", F.col("start") + F.col("n")).withColumn("gone", gone).withColumn("kind", (F.col("kind") == 1).cast("int"))
     order = Window.partitionBy("id", "kind").orderBy("start", "n")
-    # A line stands alone; a segment goes on with the run if it starts where one before ends. A run's size counts as a
+    # A line stands alone; a segment or anchor goes on with the run if it starts where one before ends. A run's size counts as a
     # whole, but what goes and what stays of it are parts of their own.
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when((F.col("kind") == 0) & (before >= F.col("start")), 0).otherwise(1)

@@ -260,6 +260,30 @@ def test_buckets_are_settled_beyond_their_heads(spark):
     assert got == {2: 2, 3: 2, 4: 4, 5: 4}
 
 
+def test_no_passage_of_51_words_is_missed(spark):
+    """Exact, or with any one word changed, in the midst of lines."""
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    rows = []
+    for k in range(400):
+        passage = say(51)
+        changed = list(passage)
+        if k % 2:
+            changed[k // 2 % 51] = "other"
+        for i, p in enumerate((passage, changed)):
+            rows.append((2 * k + i, " ".join(say(rng.randint(30, 90)) + p + say(rng.randint(30, 90)))))
+    rows += [(5000 + k, " ".join(say(120))) for k in range(50)]
+    got = passages.report(spark.createDataFrame(rows, DOC)).collect()
+    assert {r["doc_id"] for r in got} == set(range(800))
+    # Anchors are the same in any batch.
+    texts = [t for _, t in rows[:5]] + [None, "a b", " ".join(say(16))]
+    t = passages.Texts(passages.Texts.ids(), texts)
+    start, node = t.anchors()
+    for k, x in enumerate(texts):
+        alone = passages.Texts(passages.Texts.ids(), [x]).anchors()
+        assert alone[0].tolist() == (start[t.text[start] == k] - t.first[k]).tolist() and alone[1].tolist() == node[t.text[start] == k].tolist()
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
