@@ -1,12 +1,63 @@
-"""Connected components of a link table by alternating large-star and small-star steps, all in DataFrames."""
+"""Connected components of links, and the components of candidates that are grouped in buckets, all in DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import kept
 
+#: Links that one step of a task holds.
+LINKS = 1 << 20
+#: Tables of ids up to so many rows are broadcast (under 20 MB); larger ones are joined by shuffle.
+BROADCAST = 200_000
+HUBS, HUB_ROUNDS = 3, 2
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links that aren't the least of their component among these links, and that least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        u, v = low[x], low[y]
+        least, new = np.minimum(u, v), low.copy()
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    below = low != np.arange(len(nodes))
+    return nodes[below], nodes[low[below]]
+
+
+def _forests(links: DataFrame) -> DataFrame:
+    """The links of each partition as stars around the least nodes, up to LINKS of them together: the same components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            found = forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(f) for f in found], ["a", "b"])
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            n += batch.num_rows
+            if n >= LINKS:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: distinct (a, b), a > b. Each node hands the least of itself and its neighbours to its larger neighbours
@@ -25,18 +76,108 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, component (its least node) of every node of the links (a, b); loops are left out.
 
-    The number of rounds grows with the logarithm of the longest path. Each round's links are written to the shared
-    folder, and rounds end when the links are stars, as their number and the sum of their hashes then stay the same.
+    Links become stars within each partition, before and after they are dealt anew. Where a node then has two least nodes,
+    alternating large-star and small-star steps go on, whose number grows with the logarithm of the longest path. Each
+    round's links are written to the shared folder.
     """
-    links = kept(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
-    before = None
+    links = kept(_forests(_forests(links.where("a <> b")).distinct()), name)
     while True:
-        mark = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-        if not mark[0]:
-            break
-        links = kept(_star(_star(links, True), False), name)
-    nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")))
+        nodes = nodes.groupBy("node").agg(F.min("component").alias("component"), F.max("component").alias("other"))
+        if nodes.where("component < other").isEmpty():
+            return nodes.select("node", "component")
+        links = kept(_forests(_star(_star(links.distinct(), True), False)), name)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table of ids, marked for broadcast if it is within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def merged(parts: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """parts (node, component) after links (a, b) between components, and what changed as (component, new)."""
+    moved = kept(components(links, name).where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("new")), f"{name}-moved")
+    of = small(moved)
+    whole = parts.join(of, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = moved.select(F.col("component").alias("node"), F.col("new").alias("component")).join(parts.select("node"), "node", "left_anti")
+    tops = moved.select(F.col("new").alias("node")).distinct().join(parts.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+    return kept(whole.unionByName(alone).unionByName(tops), f"{name}-parts"), moved
+
+
+def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """node, component of all nodes that are linked to another, where two nodes may be linked if they share a bucket.
+
+    buckets: a written table of distinct (band, node), two nodes or more in each band. alike: the pairs (a, b) of a
+    written table that are links. possible: from rows (band, node, component), the pairs of different components in one band that
+    may be links.
+
+    No bucket makes all pairs. Each node is compared with the head of one of its buckets, that which it shares most with;
+    then with its other heads and with HUBS members of the largest component of each bucket, drawn by hash, where these
+    are of another component. What then still lies in one bucket and in several components goes to `possible`.
+    """
+    heads = buckets.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
+    pairs = buckets.join(heads, "band").where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
+    pairs = kept(pairs, f"{name}-pairs")
+    best = kept(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), f"{name}-best")
+    parts = kept(components(kept(alike(best), f"{name}-links"), f"{name}-stars"), f"{name}-parts")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def hubs(rows: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of buckets with several components, and the pairs of their nodes with hubs of another component."""
+        draw = lambda k: F.max_by("node", F.xxhash64(F.lit(number * HUBS + k), "band", "node")).alias(f"h{k}")
+        per = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), *(draw(k) for k in range(HUBS)))
+        top = per.groupBy("band").agg(F.max(F.struct("n", "component", *(f"h{k}" for k in range(HUBS)))).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        several = kept(rows.join(top.select("band", "top"), "band"), f"{name}-open")
+        star = several.where("component <> top.component").select(F.explode(F.array_distinct(F.array(*(f"top.h{k}" for k in range(HUBS))))).alias("hub"), "node", F.col("top.component").alias("ca"), F.col("component").alias("cb"))
+        return several.select("band", "node", "component"), star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "ca", "cb")
+
+    def more(candidates: DataFrame) -> DataFrame | None:
+        """Merges the components (ca, cb) of the candidates (a, b) that are alike; what moved, or None if nothing did."""
+        nonlocal parts
+        candidates = kept(candidates.distinct(), f"{name}-crossing")
+        if candidates.isEmpty():
+            return None
+        found = kept(alike(candidates.select("a", "b")).join(candidates, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), f"{name}-links")
+        if found.isEmpty():
+            return None
+        parts, moved = merged(parts, found, f"{name}-stars")
+        return moved
+
+    def moved_on(rows: DataFrame, moved: DataFrame | None) -> DataFrame:
+        if moved is None:
+            return rows
+        return rows.join(small(moved), "component", "left").select("band", "node", F.coalesce("new", "component").alias("component"))
+
+    own = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    rest = pairs.select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+    rest = rest.join(best, ["a", "b"], "left_anti")
+    rows, star = hubs(placed(buckets.join(heads.where("n > 2").select("band"), "band", "left_semi")), 0)
+    rows = moved_on(rows, more(rest.unionByName(star)))
+    for number in range(1, HUB_ROUNDS):
+        rows, star = hubs(rows, number)
+        rows = moved_on(rows, more(star))
+    several = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    rows = kept(rows.join(several, "band", "left_semi"), f"{name}-open")
+    if not rows.isEmpty():
+        more(possible(rows))
+    return parts
+
+
+def within_reach(rows: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, ca, cb) of rows (band, node, component) in one band and of different components whose similarity may
+    reach the threshold, by sizes and by how many of its elements (node, elements) a node has in common with any other.
+
+    Two sets have no more in common than the elements of either that any other set has, so this loses nothing, while a
+    node with too much to itself meets no other.
+    """
+    own = kept(elements.join(rows.select("node").distinct(), "node", "left_semi"), "elements")
+    single = own.select(F.explode("elements").alias("unit"), "node").groupBy("unit").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    sizes = own.select("node", F.size("elements").alias("size")).join(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
+    sizes = sizes.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")).where(F.col("common") >= F.col("size") * threshold - 1e-6)
+    rows = kept(rows.join(sizes, "node"), "reach")
+    x, y = (rows.select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component"))) for n in "ab")
+    possible = F.least("a_common", "b_common") * (1 + threshold) >= (F.col("a_size") + F.col("b_size")) * threshold - 1e-6
+    across = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & possible
+    return x.join(y, "band").where(across).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_component").alias("ca"), F.col("b_component").alias("cb"))

@@ -7,16 +7,14 @@ below rank t / W, about t darts however many elements it has, and each of K coor
 hashed to it; where a coordinate is left empty, the rank is doubled. Two documents share a coordinate's dart with a
 probability of their weighted Jaccard similarity.
 
-Signatures are cut into bands. Documents that share a band are candidates, each with the head of its bucket, so a bucket
-of n makes n - 1 pairs and not n * n / 2. Pairs are verified by exact weighted Jaccard of the shingles. A bucket whose
-members then lie in one component needs no more. In others, all members outside the largest component are compared with one
-member of it, drawn anew for each bucket and round, and what still is in several components is joined by bucket on the
-similarity itself, across components alone, unless a text has so many shingles to itself that the threshold is out of reach. So no link between components is lost among
-candidates, while a large group of copies makes few pairs.
+Signatures are cut into bands. Documents that share a band are candidates; `components.settled` compares them so that no
+link between components is lost among candidates while a large group of copies makes few pairs. Pairs are verified by
+exact weighted Jaccard of the shingles' 64-bit hashes.
 
 Defined results: a text of one to four words is one shingle; texts without words are copies of one another; a null text
-is a class of its own with every other null text's row apart; equal words make equal texts; an empty table gives an empty
-result. Distinct texts are told apart by 64 hash bits.
+is a class of its own with every other null text's row apart; equal words make equal texts, however long they are; rows
+with a null key take part and have the class of the least key that isn't null; extra columns of any name are left as they
+are; an empty table gives an empty result. Distinct texts are told apart by 64 hash bits.
 """
 
 from __future__ import annotations
@@ -29,100 +27,92 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import Ids, bounded, plain, word_ids
+from tessera.llm.batches import bounded
 from tessera.llm.common import free_name, kept
-from tessera.llm.components import components
+from tessera.llm.components import settled, small, within_reach
+from tessera.llm.hashing import mixed, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 20 bands of 5 find a pair of similarity 0.8 with a probability of 0.9996.
 BANDS, ROWS = 20, 5
-HUB_ROUNDS = 5
-#: Ids or pairs up to so many are broadcast (under 100 MB); more are joined by shuffle.
-BROADCAST = 1_000_000
+#: Texts that a task remembers so as not to sign their copies again.
+SEEN = 500_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64 bits."""
-    x = x ^ (x >> np.uint64(32))
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Sorted hashes of a text's shingles, repeats kept, from the hashes of its words."""
-    n = len(words)
-    if not n:
-        return words
-    if n < SHINGLE:
-        return mixed((words * _ODD[:n]).sum(keepdims=True, dtype=np.uint64))
-    out = words[: n - SHINGLE + 1] * _ODD[0]
+def units(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of so many words, one after another: a hash for each unit of weight of their shingles, sorted but for
+    repeats within each text, and how many units each text has. A unit's hash is of the shingle and the number of its
+    repeats before."""
+    first = np.cumsum(sizes) - sizes
+    counts = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
+    start = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) + np.repeat(first - start, counts)
+    padded = np.concatenate([words, np.zeros(SHINGLE - 1, np.uint64)])
+    sums = padded[: len(words)] * _ODD[0]
     for k in range(1, SHINGLE):
-        out += words[k : n - SHINGLE + 1 + k] * _ODD[k]
-    out = mixed(out)
-    out.sort()
-    return out
-
-
-def slabs(elements: np.ndarray) -> np.ndarray:
-    """A hash for each unit of weight: of the element and the number of its repeats before; elements are sorted."""
-    first = np.concatenate([[True], elements[1:] != elements[:-1]])
-    if first.all():
-        return elements
-    places = np.arange(len(elements))
-    repeat = places - np.maximum.accumulate(np.where(first, places, 0))
-    return np.where(repeat > 0, mixed(elements + repeat.astype(np.uint64) * _ODD[1]), elements)
-
-
-def signature(units: np.ndarray, k: int) -> np.ndarray:
-    """The earliest dart of each of k coordinates, as 40 bits of rank above 24 bits of the dart's hash."""
-    rank = (k * np.log(k) + 2 * k) / len(units)
-    while True:
-        best = np.full(k, np.iinfo(np.uint64).max, np.uint64)
-        at, live, number = np.zeros(len(units)), units, 0
+        sums += padded[k : len(words) + k] * _ODD[k]
+    out = mixed(sums[at])
+    for k in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)).tolist():
+        out[start[k]] = mixed((words[first[k] : first[k] + sizes[k]] * _ODD[: sizes[k]]).sum(keepdims=True, dtype=np.uint64))[0]
+    for a, n in zip(start.tolist(), counts.tolist(), strict=True):
+        out[a : a + n].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[start[counts > 0]] = True
+    if not new.all():
+        places = np.arange(len(out))
+        repeat = places - np.maximum.accumulate(np.where(new, places, 0))
+        out = np.where(repeat > 0, mixed(out + repeat.astype(np.uint64) * _ODD[1]), out)
+    return out, counts
+
+
+def signatures(units: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """The earliest dart of each of k coordinates of each text, as 40 bits of rank above 24 bits of the dart's hash."""
+    none = np.iinfo(np.uint64).max
+    out = np.full((len(counts), k), none, np.uint64)
+    rank = (k * np.log(k) + 2 * k) / np.maximum(counts, 1)
+    text = np.repeat(np.arange(len(counts)), counts)
+    while len(units):
+        best = out.reshape(-1)
+        at, live, of, number = np.zeros(len(units)), units, text, 0
         while len(live):
             dart = mixed(live + np.uint64(number * int(_ODD[2]) % 2**64))
             at = at - np.log(((dart >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52)
-            inside = at < rank
-            at, live, dart = at[inside], live[inside], dart[inside]
+            inside = at < rank[of]
+            at, live, of, dart = at[inside], live[inside], of[inside], dart[inside]
             spot = mixed(dart ^ _ODD[3])
             # Ranks compare as the bits of 1 + rank / 2**12, in [1, 2), do; 40 of the 52 bits of the fraction are kept.
             bits = ((1 + at * 2.0**-12).view(np.uint64) << np.uint64(12)) & np.uint64(0xFFFFFFFFFF000000)
-            np.minimum.at(best, (spot % np.uint64(k)).astype(np.int64), bits | (spot >> np.uint64(40)))
+            np.minimum.at(best, of * k + (spot % np.uint64(k)).astype(np.int64), bits | (spot >> np.uint64(40)))
             number += 1
-        if best.max() != np.iinfo(np.uint64).max:
-            return best
-        rank *= 2
-
-
-def band_keys(sign: np.ndarray, bands: int) -> np.ndarray:
-    """A hash for each band, its number included."""
-    cut = sign.reshape(bands, -1)
-    out = np.arange(1, bands + 1, dtype=np.uint64) * _ODD[4]
-    for k in range(cut.shape[1]):
-        out = mixed(out ^ cut[:, k])
+        gaps = (out.max(axis=1) == none) & (counts > 0)  # ranks double for them until there is none
+        rank = rank * 2
+        some = gaps[text]
+        units, text = units[some], text[some]
+        out[gaps] = none
     return out
 
 
-class Hashes(Ids):
-    """Word ids whose row is the 64-bit hash of the word."""
+def band_keys(signs: np.ndarray, bands: int) -> np.ndarray:
+    """A hash for each text and band, the band's number included."""
+    cut = signs.reshape(len(signs), bands, signs.shape[1] // bands)
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD[4], cut.shape[:2])
+    for k in range(cut.shape[2]):
+        out = mixed(out ^ cut[:, :, k])
+    return out.view(np.int64)
 
-    def __init__(self):
-        super().__init__([], np.empty((0, 1), np.uint64), lambda ws: np.array([xxhash.xxh64_intdigest(w) for w in ws], np.uint64)[:, None])
 
-    def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        found = [word_ids(self, t) for t in texts]
-        rows = self.settle()[:, 0]
-        out = [rows[f] for f in found]
-        self.trim()
-        return out
+def nodes(words: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """A hash of the words of each text, in their order."""
+    ends = np.cumsum(sizes)
+    data = words.tobytes()
+    return [xxhash.xxh64_intdigest(data[8 * a : 8 * b]) - (1 << 63) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two sorted arrays of unit hashes, whose members differ by construction."""
+    """Weighted Jaccard of two arrays of unit hashes, whose members differ by construction."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.concatenate([a, b])
@@ -132,162 +122,134 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signed(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """key, node (hash of the words; null for a null text), size (shingles) and the band keys of each document."""
+    """key, node (hash of the words; null for a null text), size (shingles) and the band keys of each document. A copy of
+    a text that its task has signed has no band keys."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        seen: set[int] = set()
         for batch in bounded(batches, "__text"):
-            sizes, keys = [], []
-            for words in hashes.of(batch.column(2).to_pylist()):
-                units = slabs(shingles(words)) if len(words) else words
-                sizes.append(len(units))
-                keys.append(band_keys(signature(units, bands * rows), bands).view(np.int64) if len(units) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [key, "node", "size", "bands"])
-
-    body = F.trim(plain(F.col(text)))
-    return docs.select(F.col(key), F.xxhash64(body, F.lit("text")).alias("node"), body.alias("__text")).withColumn("node", F.when(F.col("__text").isNotNull(), F.col("node"))).mapInArrow(run, f"`{key}` {kind}, node long, size long, bands array<bigint>")
-
-
-def _chosen(df: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
-    return df.join(F.broadcast(ids) if few else ids, "node", "left_semi")
-
-
-def _units(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """node and its sorted unit hashes (32 bits each) for the given nodes, once each."""
-    body = F.trim(plain(F.col(text)))
-    rows = docs.select(F.when(body.isNotNull(), F.xxhash64(body, F.lit("text"))).alias("node"), body.alias("__text"))
-    rows = _chosen(rows, nodes, nodes.count() <= BROADCAST)
+            texts = batch.column(1).to_pylist()
+            words, sizes, _ = word_hashes(texts)
+            found = nodes(words, sizes)
+            fresh = np.zeros(len(texts), bool)
+            for i, (x, n) in enumerate(zip(found, sizes.tolist(), strict=True)):
+                if n and x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            if len(seen) > SEEN:
+                seen.clear()
+            its, counts = units(words[np.repeat(fresh, sizes)], sizes[fresh])
+            size = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
+            keys = iter(band_keys(signatures(its, counts, bands * rows), bands))
+            column = pa.array([next(keys) if f else None for f in fresh.tolist()], pa.list_(pa.int64()))
+            node = pa.array([None if t is None else x for t, x in zip(texts, found, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(size), column], [key, "node", "size", "bands"])
+
+    return docs.select(F.col(key), F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, node long, size long, bands array<bigint>")
+
+
+def _units(docs: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
+    """node and its unit hashes, as bytes, for the nodes of `places` (node, id), once each. A null id names no row, so its
+    nodes are looked for in all rows without a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in bounded(batches, "__text"):
-            units = [np.sort((slabs(shingles(w)) >> np.uint64(32)).astype(np.uint32)).tobytes() for w in hashes.of(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], ["node", "units"])
-
-    return rows.mapInArrow(run, "node long, units binary").groupBy("node").agg(F.first("units").alias("units"))
+            words, sizes, _ = word_hashes(batch.column(1).to_pylist())
+            want = batch.column(0).to_pylist()
+            found = nodes(words, sizes)
+            same = np.array([w is None or w == f for w, f in zip(want, found, strict=True)], bool)  # a row of the same id may have another text
+            its, counts = units(words[np.repeat(same, sizes)], sizes[same])
+            ends = np.cumsum(counts)
+            sets = [its[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, s in zip(found, same.tolist(), strict=True) if s], pa.int64()), pa.array(sets, pa.binary())], ["node", "units"])
+
+    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
+    some = small(kept(places.where("id is not null"), "places"))
+    known = rows.join(some, rows["__id"] == some["id"]).select("node", "__text").mapInArrow(run, "node long, units binary")
+    other = rows.where("__id is null").select(F.lit(None).cast("long").alias("node"), "__text").mapInArrow(run, "node long, units binary")
+    other = other.join(places.where("id is null").select("node"), "node", "left_semi")
+    return known.unionByName(other).groupBy("node").agg(F.first("units").alias("units"))
 
 
 def verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
-    few = pairs.count() <= BROADCAST
-    pairs = F.broadcast(pairs) if few else pairs
-    left = units.select(F.col("node").alias("a"), F.col("units").alias("ua")).join(pairs, "a")
+    """The pairs (a, b), a written table, whose exact similarity reaches the threshold."""
+    left = units.select(F.col("node").alias("a"), F.col("units").alias("ua")).join(small(pairs), "a")
     both = left.join(units.select(F.col("node").alias("b"), F.col("units").alias("ub")), "b").select("a", "b", "ua", "ub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "ua"):
             ua, ub = (batch.column(k).to_pylist() for k in (2, 3))
-            keep = [jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= threshold for x, y in zip(ua, ub, strict=True)]
+            keep = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold for x, y in zip(ua, ub, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def node_classes(table: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
-    """node, component of all nodes that are linked to another. table: what `signed` made."""
-    nodes = table.where("bands is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    rows = nodes.select("node", "size", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = kept(rows.join(heads, "band").select("band", "node", "size", "head"), "buckets")  # buckets of two or more
-    units = kept(_units(docs, text, shared.select("node").distinct()), "units")
-
-    pairs = shared.where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = kept(pairs, "pairs")
-    best = pairs.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a"))
-    links = kept(verified(best.select("a", "b"), units, threshold), "links")
-    parts = components(links)
-
-    def crossing(candidates: DataFrame) -> DataFrame:
-        """Candidates (a, b) that no component holds together yet."""
-        own = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-        found = candidates.join(own("a"), "a", "left").join(own("b"), "b", "left")
-        return kept(found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct(), "crossing")
-
-    def open_buckets() -> DataFrame:
-        """Rows of the buckets whose members lie in several components."""
-        placed = shared.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-        return placed.join(several, "band")
-
-    def more(candidates: DataFrame) -> bool:
-        nonlocal links, parts, tested
-        fresh = crossing(candidates.join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            return False
-        tested = tested.unionByName(fresh)
-        found = kept(verified(fresh, units, threshold), "links")
-        if found.isEmpty():
-            return False
-        links = links.unionByName(found)
-        parts = components(links)
-        return True
-
-    tested = best.select("a", "b")
-    more(pairs.select("a", "b"))
-    for number in range(HUB_ROUNDS):
-        rows = kept(open_buckets(), "open")
-        if rows.isEmpty():
-            return parts
-        sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-        order = F.struct(F.coalesce("members", F.lit(1)), F.xxhash64(F.lit(number), "band", "node"), "node")
-        hubs = rows.join(sizes, "component", "left").groupBy("band").agg(F.max(order)["node"].alias("hub"), F.max_by("component", order).alias("own"))
-        star = rows.join(hubs, "band").where("component <> own").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-        if not more(star):
-            break
-    rows = open_buckets()
-    elements = _elements(units, rows.select("node").distinct())
-    single = elements.select(F.explode("elements").alias("unit"), "node").groupBy("unit").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    rows = rows.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
-    rows = kept(rows.where(F.col("common") >= F.col("size") * threshold).join(elements, "node"), "open")
-    x, y = (rows.select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component", "elements"))) for n in "ab")
-    across = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
-    # Two texts have no more in common than the shingles of either that any other text has.
-    possible = F.least("a_common", "b_common") * (1 + threshold) >= (F.col("a_size") + F.col("b_size")) * threshold
-    shared = F.size(F.array_intersect("a_elements", "b_elements"))
-    alike = F.when(possible, shared * (1 + threshold) >= (F.col("a_size") + F.col("b_size")) * threshold - 1).otherwise(False)
-    more(x.join(y, "band").where(across & alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
-    return parts
-
-
-def _elements(units: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its units as an array, for the given nodes."""
+def elements(units: DataFrame, column: str = "units") -> DataFrame:
+    """node and its hashes as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "units"):
-            found = [np.frombuffer(u, np.int32) for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["node", "elements"])
+        for batch in bounded(batches, column):
+            found = [np.frombuffer(u, np.int64) for u in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "elements"])
 
-    return _chosen(units, nodes, nodes.count() <= BROADCAST).select("node", "units").mapInArrow(run, "node long, elements array<int>")
+    return units.select("node", column).mapInArrow(run, "node long, elements array<bigint>")
+
+
+def node_classes(table: DataFrame, docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """node, component of all nodes that are linked to another. table: what `signed` made, written."""
+    rows = table.where("bands is not null").select("node", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
+    buckets = kept(rows.join(shared, "band", "left_semi").distinct(), "buckets")  # of two nodes or more
+    places = table.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(key).alias("id"))
+    units = kept(_units(docs, key, text, kept(places, "places")), "units")
+    alike = lambda pairs: verified(pairs, units, threshold)
+    return settled(buckets, alike, lambda open_: within_reach(open_, elements(units), threshold), "near")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of docs: key, node and class_id, the least key of its class; a null text's class is its own key."""
     table = kept(signed(docs, key, text), "signed")
-    parts = node_classes(table, docs, text, threshold)
-    rows = table.select(key, "node", F.when(F.col("size") == 0, F.lit(None)).otherwise(F.col("node")).alias("__n"))
-    placed = rows.join(parts, rows["__n"] == parts["node"], "left").select(key, rows["node"], F.coalesce("component", rows["node"]).alias("__part"))
-    least = placed.groupBy("__part").agg(F.min(key).alias("class_id"))
-    return placed.join(least, "__part", "left").select(key, "node", F.when(F.col("__part").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"))
+    parts = node_classes(table, docs, key, text, threshold)
+    own = table.where("node is not null").groupBy("node").agg(F.min(key).alias("least"))
+    placed = kept(own.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("__part")), "placed")
+    least = placed.groupBy("__part").agg(F.min("least").alias("class_id"))
+    of = placed.join(least, "__part").select(F.col("node").alias("__node"), "class_id")
+    rows = table.select(key, "node").join(of, F.col("node") == F.col("__node"), "left")
+    return rows.select(key, "node", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def with_nodes(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """docs and the hash of each text's words in a column of that name."""
+    from pyspark.sql.types import LongType, StructType
+
+    schema = StructType([*docs.schema.fields]).add(name, LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, text):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            found = nodes(*word_hashes(texts)[:2])
+            column = pa.array([None if t is None else x for t, x in zip(texts, found, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the least key; columns as they were. Rows with a null key all stay.
 
-    Keys that occur more than once are rare and are settled apart, so that no other text is shuffled.
+    Keys that occur more than once are rare and are settled apart by key and text, so that no other text is shuffled.
     """
     found = kept(classes(docs, key, text, threshold), "classes")
-    other = free_name(docs, "__key")
-    go = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias(other)).distinct()
-    few = go.count() <= BROADCAST
-    kept_rows = docs.join(F.broadcast(go) if few else go, docs[key] == F.col(other), "left_anti")
-    twice = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias(other))
+    other, name, node = (free_name(docs, n) for n in ("__key", "__node", "__other"))
+    twice = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = small(kept(twice.select(F.col(key).alias(other)), "twice"))
+    go = kept(found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias(other), F.col("node").alias(node)).distinct(), "copies")
+    rows = docs.join(small(go), docs[key] == F.col(other), "left_anti")
     if twice.isEmpty():
-        return kept_rows
-    few = twice.count() <= BROADCAST
-    twice = F.broadcast(twice) if few else twice
-    single = kept_rows.join(twice, kept_rows[key] == F.col(other), "left_anti")
-    name = free_name(docs, "__node")
-    again = kept_rows.join(twice, kept_rows[key] == F.col(other), "left_semi").withColumn(name, F.trim(plain(F.col(text))))
-    return single.unionByName(again.dropDuplicates([key, name]).drop(name))
+        return rows
+    rows = rows.join(twice, rows[key] == F.col(other), "left_anti")
+    again = with_nodes(docs.join(twice, docs[key] == F.col(other), "left_semi"), text, name).dropDuplicates([key, name])
+    again = again.join(small(go), (again[key] == F.col(other)) & again[name].eqNullSafe(F.col(node)), "left_anti")
+    return rows.unionByName(again.drop(name))

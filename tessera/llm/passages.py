@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from tessera.llm.batches import LONGEST, Ids, bounded, plain, word_ids
 from tessera.llm.common import kept
 from tessera.llm.components import components
-from tessera.llm.darts import HUB_ROUNDS, SHINGLE, mixed
+from tessera.llm.darts import SHINGLE, mixed
+HUB_ROUNDS = 2
 
 THRESHOLD, LINE_WORDS, REACH, RUN_WORDS, WINDOW = 0.8, 24, 5, 16, 10
 #: 5 bands of 2 find a pair of similarity 0.8 with a probability of 0.994, one of 0.9 with 0.9998.

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import darts, passages, queries
-from tessera.llm.components import components
+from tessera.llm import darts, hashing, passages, queries
+from tessera.llm.components import components, settled
 
 DOC = "doc_id long, text string"
 
@@ -97,16 +97,51 @@ def test_large_group_makes_few_pairs(spark):
 
 def test_signature_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
-    a = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))
-    b = np.sort(np.concatenate([a[:200], a[:50], rng.integers(0, 2**63, 80, dtype=np.uint64)]))
-    ua, ub = darts.slabs(a), darts.slabs(b)
-    true = darts.jaccard(np.sort(ua), np.sort(ub))
-    assert true == pytest.approx(200 / (300 + 330 - 200))
+    a = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    repeats = np.tile(a[:60], 3)
+    words = np.concatenate([a, repeats, a[:200], repeats[:120], rng.integers(0, 2**63, 80, dtype=np.uint64), a[:3]])
+    sizes = np.array([480, 0, 400, 3])
+    its, counts = darts.units(words, sizes)
+    ends = np.cumsum(counts)
+    own = [its[e - n : e] for e, n in zip(ends, counts, strict=True)]
+    assert counts.tolist() == [476, 0, 396, 1]
+    bags = [collections.Counter(tuple(words[s + i : s + i + 5].tolist()) for i in range(n)) for s, n in ((0, 476), (480, 396))]
+    true = similarity(*bags)
+    assert darts.jaccard(own[0], own[2]) == pytest.approx(true) and 0.4 < true < 0.9
     k = 4000
-    same = (darts.signature(ua, k) == darts.signature(ub, k)).mean()
-    assert abs(same - true) < 0.03
-    # The same elements give the same darts whatever else is there.
-    assert (darts.signature(ua, 100) == darts.signature(ua.copy(), 100)).all()
+    signs = darts.signatures(its, counts, k)
+    assert abs((signs[0] == signs[2]).mean() - true) < 0.03
+    # The same text has the same units and the same signature whatever else is in the batch, a text of one unit too.
+    for i, (s, n) in enumerate(((0, 480), (480, 0), (480, 400), (880, 3))):
+        alone = darts.units(words[s : s + n], np.array([n]))
+        assert (alone[0] == own[i]).all() and (darts.signatures(*alone, 100) == darts.signatures(its, counts, 100)[i]).all()
+    keys = darts.band_keys(signs[:, :100], 20)
+    assert keys.shape == (4, 20) and not set(keys[0].tolist()) & set(keys[3].tolist())
+
+
+def test_a_plain_signature_is_the_same():
+    """The darts of each unit one after another, in plain Python."""
+    rng = np.random.default_rng(3)
+    k, text = 8, rng.integers(0, 2**63, 30, dtype=np.uint64)
+    mix = lambda x: int(hashing.mixed(np.array([x], np.uint64))[0])
+    rank = (k * np.log(k) + 2 * k) / len(text)
+    while True:
+        best = {}
+        for u in text.tolist():
+            at, number = 0.0, 0
+            while True:
+                dart = mix((u + number * int(darts._ODD[2])) % 2**64)
+                at -= np.log(((dart >> 12) + 0.5) * 2.0**-52)
+                if at >= rank:
+                    break
+                spot = mix(dart ^ int(darts._ODD[3]))
+                best[spot % k] = min(best.get(spot % k, (np.inf, 0)), (at, spot >> 40))
+                number += 1
+        if len(best) == k:
+            break
+        rank *= 2
+    got = darts.signatures(text, np.array([len(text)]), k)[0]
+    assert [x & 0xFFFFFF for x in got.tolist()] == [best[c][1] for c in range(k)]
 
 
 @pytest.mark.parametrize("links", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(5, 5)], [(9, 1), (1, 9), (2, 9)]])
@@ -116,6 +151,50 @@ def test_components(spark, links):
     assert got == {n: c for n, c in true.items() if any(n in l for l in links if l[0] != l[1])}
 
 
+def test_components_without_coalescing(spark):
+    """Links over many partitions, so that no task sees them all: chains, a cycle and a large star."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rng = random.Random(2)
+        links = [(i, i + 1) for i in range(1000, 1100)] + [(0, i) for i in range(1, 60)] + [(500 + i, 500 + (i + 1) % 30) for i in range(30)] + [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(220)]
+        rng.shuffle(links)
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(16)).collect()}
+        true = union({x for l in links for x in l}, links)
+        assert got == {n: c for n, c in true.items() if any(n in l for l in links if l[0] != l[1])}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_buckets_are_settled_whatever_their_heads(spark):
+    """Random buckets: the components are those of all pairs in a bucket that are alike, though few pairs are tested."""
+    for seed in range(2):
+        rng = random.Random(seed)
+        group = {n: rng.randint(0, 12) for n in range(150)}
+        buckets = {(b, n) for b in range(40) for n in rng.sample(range(150), rng.choice([2, 3, 12, 40]))}
+        likes = lambda a, b: group[a] == group[b] and (a * b) % 3 > 0  # noqa: E731, B023
+        by = collections.defaultdict(list)
+        for b, n in buckets:
+            by[b].append(n)
+        true = union(set(group), {(x, y) for ns in by.values() for x in ns for y in ns if x < y and likes(x, y)})
+        like = F.udf(lambda a, b: likes(a, b), "boolean")  # noqa: B023
+        table = spark.createDataFrame(sorted(buckets), "band long, node long")
+
+        def possible(rows):
+            x, y = (rows.select("band", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
+            return x.join(y, "band").where("a < b and ca <> cb").drop("band")
+
+        parts = {r["node"]: r["component"] for r in settled(table, lambda pairs: pairs.where(like("a", "b")), possible, "test").collect()}  # noqa: B023
+        assert {n: parts.get(n, n) for n in group} == true
+
+
+def test_copies_under_one_key(spark):
+    """Rows that share a key and not a text: only the row that is a copy goes."""
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(5, say(1)), (9, say(1)), (9, say(2)), (9, say(2)), (7, say(3)), (None, say(1)), (11, None), (11, None)]
+    left = darts.one_of_each(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in left) == sorted([(5, say(1)), (9, say(2)), (7, say(3)), (0, say(1)), (11, "")])
+
+
 def test_near_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r["doc_id"]: r["class_id"] for r in queries.op2_dart_minhash(spark, sf).collect()}
