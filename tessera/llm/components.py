@@ -126,7 +126,7 @@ def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possibl
 
     def hubs(rows: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
         """The rows of buckets with several components, and the pairs of their nodes with hubs of another component."""
-        draw = lambda k: F.max_by("node", F.xxhash64(F.lit(number * HUBS + k), "band", "node")).alias(f"h{k}")
+        draw = lambda k: F.max_by("node", F.xxhash64(F.lit(number * HUBS + k), "node")).alias(f"h{k}")
         per = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), *(draw(k) for k in range(HUBS)))
         top = per.groupBy("band").agg(F.max(F.struct("n", "component", *(f"h{k}" for k in range(HUBS)))).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
         several = kept(rows.join(top.select("band", "top"), "band"), f"{name}-open")
@@ -166,18 +166,19 @@ def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possibl
 
 
 def within_reach(rows: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, ca, cb) of rows (band, node, component) in one band and of different components whose similarity may
-    reach the threshold, by sizes and by how many of its elements (node, elements) a node has in common with any other.
+    """Pairs (a, b, ca, cb) of rows (band, node, component) in one band and of different components whose sets (node,
+    elements) are alike: a join of each band on the similarity itself.
 
-    Two sets have no more in common than the elements of either that any other set has, so this loses nothing, while a
-    node with too much to itself meets no other.
+    Two sets have no more in common than the elements of either that any other set has, so a node with too much to itself
+    meets no other, and sets are only compared where their sizes and common elements allow for it.
     """
     own = kept(elements.join(rows.select("node").distinct(), "node", "left_semi"), "elements")
     single = own.select(F.explode("elements").alias("unit"), "node").groupBy("unit").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    sizes = own.select("node", F.size("elements").alias("size")).join(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
-    sizes = sizes.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")).where(F.col("common") >= F.col("size") * threshold - 1e-6)
-    rows = kept(rows.join(sizes, "node"), "reach")
-    x, y = (rows.select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component"))) for n in "ab")
-    possible = F.least("a_common", "b_common") * (1 + threshold) >= (F.col("a_size") + F.col("b_size")) * threshold - 1e-6
-    across = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & possible
-    return x.join(y, "band").where(across).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_component").alias("ca"), F.col("b_component").alias("cb"))
+    sizes = own.withColumn("size", F.size("elements")).join(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
+    sizes = sizes.select("node", "elements", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")).where(F.col("common") >= F.col("size") * threshold - 1e-6)
+    x, y = (rows.join(sizes, "node").select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component", "elements"))) for n in "ab")
+    across = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
+    both = F.col("a_size") + F.col("b_size")
+    possible = F.least("a_common", "b_common") * (1 + threshold) >= both * threshold - 1e-6
+    alike = F.when(possible, F.size(F.array_intersect("a_elements", "b_elements")) * (1 + threshold) >= both * threshold - 1e-6).otherwise(False)
+    return x.join(y, "band").where(across & alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_component").alias("ca"), F.col("b_component").alias("cb"))
