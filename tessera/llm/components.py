@@ -156,8 +156,12 @@ def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possibl
     rows, star = hubs(placed(buckets.join(heads.where("n > 2").select("band"), "band", "left_semi")), 0)
     rows = moved_on(rows, more(rest.unionByName(star)))
     for number in range(1, HUB_ROUNDS):
+        if rows.isEmpty():
+            return parts
         rows, star = hubs(rows, number)
         rows = moved_on(rows, more(star))
+    if rows.isEmpty():
+        return parts
     several = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     rows = kept(rows.join(several, "band", "left_semi"), f"{name}-open")
     if not rows.isEmpty():

@@ -1,105 +1,93 @@
 """Passages that repeat across documents, by paragraph MinHash banding.
 
-Paragraphs come in two sizes: the lines of LINE_WORDS words or more, and the segments of the whole run of words between
-content-defined cuts. A word is a cut if its hash is the least within REACH words on either side, so a passage has the
-same cuts wherever it is pasted, in the midst of a line too. Both are sets of five-word shingles. Paragraphs of the same
-words are one node; different nodes that share a band of their MinHash signatures are compared, each with the head of its
-bucket, by exact Jaccard; nodes linked at THRESHOLD or more fall into classes by connected components. Buckets whose nodes
-then lie in several components go on: with random members of the largest component, and at last by a join of each bucket on
-the similarity across components, so no link between two classes is lost among candidates.
-
-Segments alone would miss some passages by chance, so texts also give anchors: of any WINDOW successive runs of RUN_WORDS
-words the one of least hash. Any RUN_WORDS + WINDOW - 1 = 25 words that two documents share give both the same anchor, and so
-does one side of a passage of 51 words with a word changed. An anchor is a node that is alike to itself alone.
-
-A class repeats if it holds paragraphs of two documents. Adjacent repeated segments and anchors form a run; runs of
+Paragraphs are the lines of LINE_WORDS words or more, and the segments of the whole run of words between content-defined
+cuts, for texts without line ends: a word is a cut if its hash is the least within REACH words on either side. Both are
+sets of five-word shingles. Paragraphs of the same words are one node; different nodes that share a band of their MinHash
+signatures are candidates, which `components.settled` compares by exact Jaccard so that no link between two classes is lost
+among candidates; nodes linked at THRESHOLD or more fall into classes by connected components.
+
+A passage pasted within a line may hold no whole paragraph, so texts also give anchors: of any WINDOW successive runs of
+RUN_WORDS words the one of least hash. Any RUN_WORDS + WINDOW - 1 = 25 words that two documents share give both the same
+anchor, and so does one side of a passage of 51 words with a word changed. An anchor is a node that is alike to itself alone.
+
+A class repeats if it holds paragraphs of two documents. Repeated segments and anchors that meet form a run; runs of
 RUN_WORDS words or more and repeated lines are reported, cut where what goes meets what stays. Passages of over 50 words are
 always found, but the first and last WINDOW - 1 words of one pasted within a line may lie outside its run, and a changed word
-ends a run. Boilerplate of under RUN_WORDS words is left alone. In each class the paragraph that comes first by (id,
-place) stays and the others go.
+ends a run. Boilerplate of under RUN_WORDS words is left alone. In each class the document of the least id keeps its
+paragraphs and those of the others go.
 
 Defined results: null texts and texts under five words have no paragraphs; repetition within one document doesn't count;
-rows with one id count as one document; rows with a null id are left out; an empty table gives an empty result. Places and
-lengths count words of the text in lower case, runs of letters and digits, cut after every LONGEST characters.
+rows with one id count as one document; rows with a null id are left out; very long texts are read whole; extra columns of
+any name are left as they are; an empty table gives an empty result. Places and lengths count the words of
+`hashing.word_hashes`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import LONGEST, Ids, bounded, plain, word_ids
-from tessera.llm.common import kept
-from tessera.llm.components import components
-from tessera.llm.darts import SHINGLE, mixed
-HUB_ROUNDS = 2
+from tessera.llm.batches import bounded
+from tessera.llm.common import free_name, kept, release
+from tessera.llm.components import settled, small, within_reach
+from tessera.llm.darts import SEEN, SHINGLE, elements
+from tessera.llm.hashing import LONGEST, mixed, word_hashes
 
-THRESHOLD, LINE_WORDS, REACH, RUN_WORDS, WINDOW = 0.8, 24, 5, 16, 10
+THRESHOLD, LINE_WORDS, REACH, RUN_WORDS, WINDOW = 0.8, 24, 24, 16, 10
 #: 5 bands of 2 find a pair of similarity 0.8 with a probability of 0.994, one of 0.9 with 0.9998.
 BANDS, ROWS = 5, 2
-#: Tables up to so many rows are broadcast (under 10 MB); larger ones are joined by shuffle.
-BROADCAST = 50_000
-LETTERS = r"\p{L}\p{N}\n"
 _ODD = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_MOST = np.uint64(np.iinfo(np.uint64).max)
+
+
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` successive values, by doubling."""
+    out, have = x, 1
+    while 2 * have <= width:
+        out = np.minimum(out[:-have], out[have:])
+        have *= 2
+    more = width - have
+    return np.minimum(out[:-more], out[more:]) if more else out
 
 
 class Texts:
-    """The words of a batch of `plain` texts, one after another, as hashes: of each the text, and whether it ends a line.
-
-    All texts are split at once, with marks between lines and texts that no plain text holds.
-    """
-
-    LINE, TEXT = "\x00", "\x01"
-
-    def __init__(self, ids: Ids, texts: list[str | None]):
-        joined = f" {self.TEXT} ".join(t or "" for t in texts).replace("\n", f" {self.LINE} ")
-        at = word_ids(ids, joined)
-        rows = ids.settle()
-        word = at > 1
-        self.words = rows[at[word]]
-        ids.trim()
-        self.text = np.cumsum(at == 1)[word]
-        line = np.cumsum(at <= 1)[word]
-        self.ends_line = np.append(line[1:] != line[:-1], True) if len(line) else np.empty(0, bool)
-        self.sizes = np.bincount(self.text, minlength=len(texts))
-        self.first = np.cumsum(self.sizes) - self.sizes
+    """The words of a batch of texts, one after another, as hashes: of each its text, and whether it ends a line."""
 
-    @classmethod
-    def ids(cls) -> Ids:
-        return Ids([cls.LINE, cls.TEXT], np.zeros(2, np.uint64), lambda words: np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+    def __init__(self, texts: list[str | None]):
+        self.words, self.sizes, line = word_hashes(texts, lines=True)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)
+        self.ends_text = np.append(self.text[1:] != self.text[:-1], True) if len(line) else np.empty(0, bool)
+        self.ends_line = self.ends_text | np.append(line[1:] != line[:-1], True) if len(line) else self.ends_text
 
     def cuts(self) -> np.ndarray:
-        """Whether each word is a cut: the least of the words within REACH, all of its own text."""
+        """Whether each word is a cut: the first of the least words within REACH, all of its own text."""
         h, n = self.words, len(self.words)
         out = np.zeros(n, bool)
-        if n <= 2 * REACH:
-            return out
-        mid = h[REACH : n - REACH]
-        least = (self.text[: n - 2 * REACH] == self.text[REACH : n - REACH]) & (self.text[2 * REACH :] == self.text[REACH : n - REACH])
-        for k in range(1, REACH + 1):
-            least &= (mid < h[REACH - k : n - REACH - k]) & (mid <= h[REACH + k : n - REACH + k])
-        out[REACH : n - REACH] = least
+        if n > 2 * REACH:
+            mid, side = h[REACH : n - REACH], least_of(h, REACH)
+            whole = self.text[: n - 2 * REACH] == self.text[2 * REACH :]
+            out[REACH : n - REACH] = whole & (mid < side[: n - 2 * REACH]) & (mid <= side[REACH + 1 : n - REACH + 1])
         return out
 
     def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start (among all words), length and kind (1 line, 0 segment) of the paragraphs of five words or more."""
-        if not len(self.words):
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-        ends_text = np.append(self.text[1:] != self.text[:-1], True)
+        """Start (among all words), length and kind (1 line, 0 segment) of the paragraphs, those of each text together."""
         found = []
-        for kind, ends, least in ((0, self.cuts() | ends_text, SHINGLE), (1, self.ends_line, LINE_WORDS)):
+        for kind, ends, least in ((0, self.cuts() | self.ends_text, RUN_WORDS), (1, self.ends_line, LINE_WORDS)):
             end = np.flatnonzero(ends) + 1
-            start = np.append(0, end[:-1])
+            start = np.append(0, end)[: len(end)]
             some = end - start >= least
             found.append((start[some], (end - start)[some], np.full(int(some.sum()), kind, np.int32)))
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+        start, n, kind = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.argsort(self.text[start], kind="stable")
+        return start[order], n[order], kind[order]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Start (among all words) and node of the anchors, in the same places whatever else is in the batch."""
@@ -109,35 +97,30 @@ class Texts:
         while width < RUN_WORDS:
             runs = mixed(runs[:-width]) + runs[width:]
             width *= 2
-        most = np.uint64(np.iinfo(np.uint64).max)
         own = self.text[RUN_WORDS - 1 :] == self.text[: len(runs)]  # between two texts WINDOW or more runs are of no text
-        runs = np.where(own, mixed(runs), most)
-        edge = np.full(WINDOW - 1, most)
-        least = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, runs, edge]), WINDOW).min(axis=1)
-        start = np.flatnonzero(own & (np.lib.stride_tricks.sliding_window_view(least, WINDOW).max(axis=1) == runs))
+        runs = np.where(own, mixed(runs), _MOST)
+        edge = np.full(WINDOW - 1, _MOST)
+        least = least_of(np.concatenate([edge, runs, edge]), WINDOW)
+        # A run is an anchor if it is the least of any window that it is in: the largest of those windows' least values is its own.
+        start = np.flatnonzero(own & (~least_of(~least, WINDOW) == runs))
         return start, runs[start].view(np.int64)
 
-
-def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The places of all paragraphs, one after another."""
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    return np.arange(n.sum()) + np.repeat(start - first, n)
+    def of_text(self, start: np.ndarray) -> np.ndarray:
+        """Offsets of each text's places among those given, which are in the order of texts."""
+        return np.searchsorted(self.text[start], np.arange(len(self.sizes) + 1)).astype(np.int32)
 
 
 def nodes(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A hash of the words of each paragraph, in their order."""
-    if not len(start):
-        return np.empty(0, np.int64)
-    at = spread(start, n)
-    order = (at - np.repeat(start, n)).astype(np.uint64)
-    sums = np.add.reduceat(mixed(words[at] ^ (order * _STEP)), np.concatenate([[0], np.cumsum(n)[:-1]]))
-    return mixed(sums ^ n.astype(np.uint64)).view(np.int64)
+    data = words.tobytes()
+    found = (xxhash.xxh64_intdigest(data[8 * a : 8 * b]) for a, b in zip(start.tolist(), (start + n).tolist(), strict=True))
+    return np.fromiter(found, np.uint64, len(start)).view(np.int64)
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    out = words[: len(words) - SHINGLE + 1].copy()
+    out = words[: max(0, len(words) - SHINGLE + 1)].copy()
     for k in range(1, SHINGLE):
-        out = mixed(out) + words[k : len(words) - SHINGLE + 1 + k]
+        out = mixed(out) + words[k : len(out) + k]
     return mixed(out)
 
 
@@ -146,67 +129,63 @@ def bands(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     out = np.empty((len(start), BANDS), np.int64)
     if not len(start):
         return out
-    shingles = shingle_hashes(words)
-    at = spread(start, n - SHINGLE + 1)
-    first = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)[:-1]])
+    shingles = np.append(shingle_hashes(words), _MOST)
+    between = np.stack([start, start + n - SHINGLE + 1], 1).reshape(-1)
     for b in range(BANDS):
         key = np.full(len(start), np.uint64(b + 1))
         for r in range(ROWS):
             drawn = shingles * _ODD[b * ROWS + r]
             drawn ^= drawn >> np.uint64(29)
             drawn *= _STEP
-            key = mixed(key ^ np.minimum.reduceat(drawn[at], first))
+            key = mixed(key ^ np.minimum.reduceat(drawn, between)[::2])
         out[:, b] = key.view(np.int64)
     return out
 
 
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), plain(F.col(text), LETTERS).alias("__text"))
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("__text"))
 
 
-def records(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, kind (1 line, 0 segment, 2 anchor), start, n and node of every paragraph."""
+def parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A row for each document: id, its paragraphs (kind, start, n, node, bands) and its anchors (start, node). A copy of a
+    paragraph that its task has seen has no bands."""
     kind_of_id = docs.schema[key].dataType.simpleString()
+    schema = f"id {kind_of_id}, paragraphs array<struct<kind:int,start:int,n:int,node:bigint,bands:array<bigint>>>, anchors array<struct<start:int,node:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Texts.ids()
+        seen: set[int] = set()
         for batch in bounded(batches, "__text"):
-            t = Texts(ids, batch.column(1).to_pylist())
+            t = Texts(batch.column(1).to_pylist())
             start, n, kind = t.paragraphs()
-            node, (more, its_node) = nodes(t.words, start, n), t.anchors()
-            start, n = np.concatenate([start, more]), np.concatenate([n, np.full(len(more), RUN_WORDS)])
-            kind, node = np.concatenate([kind, np.full(len(more), 2, np.int32)]), np.concatenate([node, its_node])
-            row = t.text[start]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(kind), pa.array(start - t.first[row]), pa.array(n), pa.array(node)], ["id", "kind", "start", "n", "node"])
-
-    return _source(docs, key, text).mapInArrow(run, f"id {kind_of_id}, kind int, start long, n long, node long")
-
-
-def banded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """band, node: the buckets that each different paragraph falls into, told once in a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Texts.ids()
-        for batch in bounded(batches, "__text"):
-            t = Texts(ids, batch.column(1).to_pylist())
-            start, n, _ = t.paragraphs()
-            node, once = np.unique(nodes(t.words, start, n), return_index=True)
-            keys = bands(t.words, start[once], n[once])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(node, BANDS))], ["band", "node"])
-
-    return _source(docs, key, text).mapInArrow(run, "band long, node long")
+            node = nodes(t.words, start, n)
+            fresh = np.zeros(len(node), bool)
+            for i, x in enumerate(node.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            if len(seen) > SEEN:
+                seen.clear()
+            keys = bands(t.words, start[fresh], n[fresh])
+            of_band = np.concatenate([[0], np.cumsum(fresh) * BANDS]).astype(np.int32)
+            its_bands = pa.ListArray.from_arrays(pa.array(of_band), pa.array(keys.reshape(-1)), mask=pa.array(~fresh))
+            place = (start - t.first[t.text[start]]).astype(np.int32)
+            paragraph = pa.StructArray.from_arrays([pa.array(kind), pa.array(place), pa.array(n.astype(np.int32)), pa.array(node), its_bands], ["kind", "start", "n", "node", "bands"])
+            at, its = t.anchors()
+            anchor = pa.StructArray.from_arrays([pa.array((at - t.first[t.text[at]]).astype(np.int32)), pa.array(its)], ["start", "node"])
+            columns = [pa.ListArray.from_arrays(pa.array(t.of_text(s)), x) for s, x in ((start, paragraph), (at, anchor))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "paragraphs", "anchors"])
+
+    return _source(docs, key, text).mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
     """node and its distinct shingles' hashes, sorted, for the nodes of `places` (id, start, n, node)."""
-    by_doc = places.groupBy("id").agg(F.collect_list(F.struct("start", "n", "node")).alias("want"))
-    rows = _source(docs, key, text)
-    rows = rows.join(F.broadcast(by_doc) if places.count() <= BROADCAST else by_doc, "id").select("__text", "want")
+    by_doc = kept(places.groupBy("id").agg(F.collect_list(F.struct("start", "n", "node")).alias("want")), "wanted")
+    rows = _source(docs, key, text).join(small(by_doc), "id").select("__text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Texts.ids()
         for batch in bounded(batches, "__text"):
-            t = Texts(ids, batch.column(0).to_pylist())
+            t = Texts(batch.column(0).to_pylist())
             want = batch.column(1)
             row = np.repeat(np.arange(batch.num_rows), np.diff(want.offsets.to_numpy()))
             start, n, node = (want.flatten().field(k).to_numpy() for k in ("start", "n", "node"))
@@ -214,7 +193,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, places: DataFrame) -> Dat
             start, n, node = start[there] + t.first[row[there]], n[there], node[there]
             same = nodes(t.words, start, n) == node
             start, n, node = start[same], n[same], node[same]
-            shingles = shingle_hashes(t.words) if len(node) else None
+            shingles = shingle_hashes(t.words)
             sets = [np.unique(shingles[s : s + m - SHINGLE + 1]).tobytes() for s, m in zip(start.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
@@ -222,9 +201,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, places: DataFrame) -> Dat
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity reaches the threshold."""
-    small = F.broadcast(pairs) if pairs.count() <= BROADCAST else pairs
-    both = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(small, "a")
+    """The pairs (a, b), a written table, whose Jaccard similarity reaches the threshold."""
+    both = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(small(pairs), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def alike(x: bytes, y: bytes) -> bool:
@@ -240,95 +218,44 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def reachable(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """rows (band, node) with size, common and elements of the nodes, without those that have too much to themselves.
-
-    A similarity is at most the share of a node's shingles that any other node has.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "shingles"):
-            found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["node", "size", "elements"])
-
-    own = sets.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, size int, elements array<bigint>")
-    own = kept(own, "paragraph-elements")
-    single = own.select(F.explode("elements").alias("unit"), "node").groupBy("unit").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    own = own.join(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
-    return rows.join(own.where(F.col("common") >= F.col("size") * threshold).drop("alone"), "node")
-
-
-def joined_classes(buckets: DataFrame, sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """node, component: buckets (band, head a, node b) settled beyond the links with their heads, as darts.node_classes does."""
-    parts = components(links)
-    large = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")  # two nodes are settled
-    large = buckets.join(large, "band")
-    members = large.select("band", F.col("b").alias("node")).unionByName(large.select("band", F.col("a").alias("node")).distinct())
-
-    def still_open(rows: DataFrame) -> DataFrame:
-        placed = rows.drop("component").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-        return kept(placed.join(several, "band"), "paragraph-open")
-
-    def more(found: DataFrame) -> bool:
-        nonlocal links, parts
-        if found.isEmpty():
-            return False
-        links = links.unionByName(found)
-        parts = components(links)
-        return True
-
-    rows = still_open(members)
-    if rows.isEmpty():
-        return parts
-    rows = kept(reachable(rows.select("band", "node"), sets, threshold), "paragraph-reach")
-    for number in range(HUB_ROUNDS):
-        rows = still_open(rows)
-        if rows.isEmpty():
-            return parts
-        sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-        order = F.struct(F.coalesce("members", F.lit(1)), F.xxhash64(F.lit(number), "band", "node"), "node")
-        hubs = rows.select("band", "node", "component").join(sizes, "component", "left").groupBy("band").agg(F.max(order)["node"].alias("hub"), F.max_by("component", order).alias("own"))
-        star = rows.select("band", "node", "component").join(hubs, "band").where("component <> own").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        if not more(kept(verified(star, sets, threshold), "paragraph-links")):
-            break
-    rows = still_open(rows)
-    x, y = (rows.select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component", "elements"))) for n in "ab")
-    across = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
-    both = F.col("a_size") + F.col("b_size")
-    possible = F.least("a_common", "b_common") * (1 + threshold) >= both * threshold - 1e-6
-    shared = F.size(F.array_intersect("a_elements", "b_elements"))
-    alike = F.when(possible, shared >= (both - shared) * threshold).otherwise(False)
-    more(kept(x.join(y, "band").where(across & alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "paragraph-links"))
-    return parts
+def paragraph_classes(found: DataFrame, docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """node, component of all paragraphs that are linked to another. found: what `parsed` made, written."""
+    spark = docs.sparkSession
+    rows = found.select(F.explode("paragraphs").alias("p")).where("p.bands is not null").select("p.node", F.explode("p.bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
+    shared = kept(shared, "paragraph-shared")
+    release(spark)
+    buckets = kept(rows.join(small(shared), "band", "left_semi").distinct(), "paragraph-buckets")
+    release(spark)
+    wanted = kept(buckets.select("node").distinct(), "paragraph-wanted")
+    places = found.select("id", F.explode("paragraphs").alias("p")).select("id", "p.start", "p.n", "p.node")
+    places = places.join(small(wanted), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "start", "n")).alias("at"))
+    sets = kept(shingle_sets(docs, key, text, kept(places.select("node", "at.id", "at.start", "at.n"), "paragraph-places")), "paragraph-sets")
+    return settled(buckets, lambda pairs: verified(pairs, sets, threshold), lambda open_: within_reach(open_, elements(sets, "shingles"), threshold), "paragraph")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, kind, start, n, class (least node), first_id and first_start of all paragraphs whose class spans documents."""
-    found = kept(records(docs, key, text), "paragraphs")
-    head = F.min("node").over(Window.partitionBy("band"))
-    buckets = banded(docs, key, text).withColumn("head", head).where("node <> head").distinct()
-    buckets = kept(buckets.select("band", F.col("head").alias("a"), F.col("node").alias("b")), "paragraph-buckets")
-    pairs = kept(buckets.select("a", "b").distinct(), "paragraph-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    few = wanted.count() <= BROADCAST
-    places = found.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "start", "n")).alias("at"))
-    places = kept(places.select("node", "at.id", "at.start", "at.n"), "paragraph-places")
-    sets = kept(shingle_sets(docs, key, text, places), "paragraph-sets")
-    parts = joined_classes(buckets, sets, kept(verified(pairs, sets, threshold), "paragraph-links"), threshold)
-    few = parts.count() <= BROADCAST
-    placed = found.join(F.broadcast(parts) if few else parts, "node", "left").select("id", "kind", "start", "n", F.coalesce("component", "node").alias("class"))
-    spans = placed.groupBy("class").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    several = placed.join(spans, "class")
-    first = several.where("id = first_id").groupBy("class").agg(F.min("start").alias("first_start"))
-    return several.join(first, "class").select("id", "kind", "start", "n", "class", "first_id", "first_start")
+    """id, kind (0 segment, 1 line, 2 anchor), start, n, class (least node) and first_id of all paragraphs and anchors whose
+    class spans documents."""
+    spark = docs.sparkSession
+    found = kept(parsed(docs, key, text), "parsed")
+    parts = paragraph_classes(found, docs, key, text, threshold)
+    release(spark)
+    paragraphs = found.select("id", F.explode("paragraphs").alias("p")).select("id", "p.kind", "p.start", "p.n", "p.node")
+    paragraphs = paragraphs.join(small(parts), "node", "left").select("id", "kind", "start", "n", F.coalesce("component", "node").alias("class"))
+    anchors = found.select("id", F.explode("anchors").alias("a")).select("id", F.lit(2).alias("kind"), "a.start", F.lit(RUN_WORDS).alias("n"), F.col("a.node").alias("class"))
+    rows = paragraphs.unionByName(anchors)
+    spans = kept(rows.groupBy("class").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").drop("last_id"), "spans")
+    release(spark)
+    return rows.join(small(spans), "class").select("id", "kind", "start", "n", "class", "first_id")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Repeated passages: key, start, n_words, n_paragraphs, classes, first_ids, and whether any of it goes (removed)."""
+    """Repeated passages: key, kind (line or run), start, n_words, n_paragraphs, classes, first_ids, and whether it goes
+    (removed)."""
     rows = kept(repeated(docs, key, text, threshold), "repeated")
-    gone = (F.col("id") != F.col("first_id")) | (F.col("start") != F.col("first_start"))
-    rows = rows.withColumn("end", F.col("start") + F.col("n")).withColumn("gone", gone).withColumn("kind", (F.col("kind") == 1).cast("int"))
+    release(docs.sparkSession)
+    rows = rows.withColumn("end", F.col("start") + F.col("n")).withColumn("gone", F.col("id") != F.col("first_id")).withColumn("kind", (F.col("kind") == 1).cast("int"))
     order = Window.partitionBy("id", "kind").orderBy("start", "n")
     # A line stands alone; a segment or anchor goes on with the run if it starts where one before ends. A run's size counts as a
     # whole, but what goes and what stays of it are parts of their own.
@@ -351,8 +278,9 @@ def spans_to_remove(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with those words, and what stands between them, cut out of the text; other columns as they were."""
     columns, schema = docs.columns, docs.schema
-    joined = docs.join(spans.withColumnRenamed(key, "__key"), docs[key] == F.col("__key"), "left").drop("__key").withColumnRenamed("spans", "__spans")
-    word = re.compile(rf"[^\W_]{{1,{LONGEST}}}")  # long words count as `split_words` cuts them
+    other, of = free_name(docs, "__key"), free_name(docs, "__spans")
+    joined = docs.join(spans.select(F.col(key).alias(other), F.col("spans").alias(of)), docs[key] == F.col(other), "left").drop(other)
+    word = regex.compile(rf"[\p{{L}}\p{{N}}]{{1,{LONGEST}}}")  # as `word_hashes` finds them
 
     def cut(body: str, want: list[dict]) -> str:
         at = [(m.start(), m.end()) for m in word.finditer(body)]
@@ -366,7 +294,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, text):
-            i, j = batch.schema.get_field_index(text), batch.schema.get_field_index("__spans")
+            i, j = batch.schema.get_field_index(text), batch.schema.get_field_index(of)
             texts = [cut(t, w) if t and w else t for t, w in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True)]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type)).select(columns)
 
