@@ -3,8 +3,9 @@
 Paragraphs are the lines of LINE_WORDS words or more, and the segments of the whole run of words between content-defined
 cuts, for texts without line ends: a word is a cut if its hash is the least within REACH words on either side. Both are
 sets of five-word shingles. Paragraphs of the same words are one node; different nodes that share a band of their MinHash
-signatures are candidates, which `components.settled` compares by exact Jaccard so that no link between two classes is lost
-among candidates; nodes linked at THRESHOLD or more fall into classes by connected components.
+signatures, lines with lines and segments with segments, are candidates, which `components.settled` compares by exact
+Jaccard so that no link between two classes is lost among candidates; nodes linked at THRESHOLD or more fall into classes
+by connected components.
 
 A passage pasted within a line may hold no whole paragraph, so texts also give anchors: of any WINDOW successive runs of
 RUN_WORDS words the one of least hash. Any RUN_WORDS + WINDOW - 1 = 25 words that two documents share give both the same
@@ -124,15 +125,15 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def bands(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The band keys of each paragraph, paragraphs by BANDS."""
+def bands(words: np.ndarray, start: np.ndarray, n: np.ndarray, kind: np.ndarray | int = 0) -> np.ndarray:
+    """The band keys of each paragraph, paragraphs by BANDS; those of lines and those of segments differ."""
     out = np.empty((len(start), BANDS), np.int64)
     if not len(start):
         return out
     shingles = np.append(shingle_hashes(words), _MOST)
     between = np.stack([start, start + n - SHINGLE + 1], 1).reshape(-1)
     for b in range(BANDS):
-        key = np.full(len(start), np.uint64(b + 1))
+        key = np.full(len(start), b + 1, np.uint64) + np.asarray(kind).astype(np.uint64) * np.uint64(BANDS)
         for r in range(ROWS):
             drawn = shingles * _ODD[b * ROWS + r]
             drawn ^= drawn >> np.uint64(29)
@@ -159,13 +160,13 @@ def parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
             start, n, kind = t.paragraphs()
             node = nodes(t.words, start, n)
             fresh = np.zeros(len(node), bool)
-            for i, x in enumerate(node.tolist()):
+            for i, x in enumerate((node ^ kind).tolist()):
                 if x not in seen:
                     seen.add(x)
                     fresh[i] = True
             if len(seen) > SEEN:
                 seen.clear()
-            keys = bands(t.words, start[fresh], n[fresh])
+            keys = bands(t.words, start[fresh], n[fresh], kind[fresh])
             of_band = np.concatenate([[0], np.cumsum(fresh) * BANDS]).astype(np.int32)
             its_bands = pa.ListArray.from_arrays(pa.array(of_band), pa.array(keys.reshape(-1)), mask=pa.array(~fresh))
             place = (start - t.first[t.text[start]]).astype(np.int32)
