@@ -16,6 +16,8 @@ LINKS = 1 << 20
 #: Tables of ids up to so many rows are broadcast (under 20 MB); larger ones are joined by shuffle.
 BROADCAST = 200_000
 HUBS, HUB_ROUNDS = 3, 2
+#: Longs in the bit map of a set.
+MAP = 8
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,18 +173,22 @@ def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possibl
 
 def within_reach(rows: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, ca, cb) of rows (band, node, component) in one band and of different components whose sets (node,
-    elements) are alike: a join of each band on the similarity itself.
+    elements, bit map) are alike: a join of each band on the similarity itself.
 
     Two sets have no more in common than the elements of either that any other set has, so a node with too much to itself
-    meets no other, and sets are only compared where their sizes and common elements allow for it.
+    meets no other; and they differ in as many elements at least as their bit maps do in bits. Only where these bounds allow
+    for the threshold are the sets themselves compared, so nothing is lost.
     """
     own = kept(elements.join(rows.select("node").distinct(), "node", "left_semi"), "elements")
     single = own.select(F.explode("elements").alias("unit"), "node").groupBy("unit").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
     sizes = own.withColumn("size", F.size("elements")).join(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
-    sizes = sizes.select("node", "elements", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")).where(F.col("common") >= F.col("size") * threshold - 1e-6)
-    x, y = (rows.join(sizes, "node").select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component", "elements"))) for n in "ab")
+    sizes = sizes.withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).where(F.col("common") >= F.col("size") * threshold - 1e-6)
+    maps = [f"m{k}" for k in range(MAP)]
+    x, y = (rows.join(sizes, "node").select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component", "elements", *maps))) for n in "ab")
     across = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
     both = F.col("a_size") + F.col("b_size")
     possible = F.least("a_common", "b_common") * (1 + threshold) >= both * threshold - 1e-6
+    apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps), F.lit(0))
+    possible = possible & (apart * (1 + threshold) <= both * (1 - threshold) + 1e-6)
     alike = F.when(possible, F.size(F.array_intersect("a_elements", "b_elements")) * (1 + threshold) >= both * threshold - 1e-6).otherwise(False)
     return x.join(y, "band").where(across & alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_component").alias("ca"), F.col("b_component").alias("cb"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.batches import bounded
 from tessera.llm.common import free_name, kept
-from tessera.llm.components import settled, small, within_reach
+from tessera.llm.components import MAP, settled, small, within_reach
 from tessera.llm.hashing import mixed, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -187,14 +187,20 @@ def verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
 
 
 def elements(units: DataFrame, column: str = "units") -> DataFrame:
-    """node and its hashes as an array."""
+    """node, its hashes as an array, and a map of them in MAP longs: a bit for each value of a hash's first bits."""
+    names = [f"m{k}" for k in range(MAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, column):
-            found = [np.frombuffer(u, np.int64) for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "elements"])
-
-    return units.select("node", column).mapInArrow(run, "node long, elements array<bigint>")
+            found = [np.frombuffer(u, np.uint64) for u in batch.column(1).to_pylist()]
+            bits = np.zeros((len(found), 64 * MAP), bool)
+            for row, x in zip(bits, found, strict=True):
+                row[x % np.uint64(64 * MAP)] = True
+            maps = np.packbits(bits, axis=1).view(np.int64)
+            arrays = [pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAP))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["node", "elements", *names])
+
+    return units.select("node", column).mapInArrow(run, f"node long, elements array<bigint>, {', '.join(f'{n} long' for n in names)}")
 
 
 def node_classes(table: DataFrame, docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
