@@ -65,7 +65,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learns from docs' texts and non-null languages, at most PER_LANG documents of each, chosen by hash of the key."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang"), "key"), "key"))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), plain(F.col(text), LETTERS).alias("text"))
-    chosen = rows.select("key", "lang").withColumn("rank", rank).where(F.col("rank") <= PER_LANG)
+    # Of a language with many rows only those below a hash that PER_LANG and a margin pass are ranked: no task sorts a language.
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), (PER_LANG + 8 * PER_LANG**0.5 + 64) / F.col("n"))
+    chosen = rows.select("key", "lang").join(F.broadcast(sizes), "lang").where(F.xxhash64(F.lit("lang"), "key").cast("double") <= share * float(1 << 64) - float(1 << 63))
+    chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= PER_LANG)
     rows = among(rows, sampled(chosen, "key", SAMPLE, "lang"), "key")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
