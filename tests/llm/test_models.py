@@ -178,21 +178,23 @@ def bench_corpus(seed=8):
 
 def test_leaks_found_and_clean_kept(spark):
     docs, items, want = bench_corpus()
-    bench = items + [(50, None), (51, ""), (52, "too short"), (53, items[0][1])]
-    df = spark.createDataFrame(docs + [(900, None), (901, "")], DOC)
+    bench = items + [(50, None), (51, ""), (52, "too short"), (53, items[0][1]), (54, "five words word for word"), (55, "Five words, word for word!")]
+    odd = [(900, None), (901, ""), (902, "here are five words word for word too"), (903, "five words word for"), (904, "five words word"), (905, "for word")]
+    df = spark.createDataFrame(docs + odd, DOC)
     table = decontaminate.hashed(df, "doc_id", "text")
     indexes = decontaminate.build(spark, table, spark.createDataFrame(bench, "item_id long, text string"))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(table, indexes).collect()}
-    both = want | {(i, 53) for i, k in want if k == 0}
+    both = want | {(i, 53) for i, k in want if k == 0} | {(902, 54), (902, 55)}
+    assert {x for x in got if x[0] >= 900} == {(902, 54), (902, 55)}
     assert len(got & both) >= 0.9 * len(both) and got <= both
     exact = {x for x in both if x[0] % 20 == 0}
     assert exact <= got
     clash = df.withColumn("__plain", F.lit(1))
     kept = decontaminate.keep_clean(clash, indexes)
-    assert kept.schema == clash.schema and {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got} | {900, 901}
+    assert kept.schema == clash.schema and {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got} | {900, 901, 903, 904, 905}
     assert decontaminate.search(table.limit(0), indexes).count() == 0
     assert decontaminate.build(spark, table, spark.createDataFrame([], "item_id long, text string")) == []
-    assert decontaminate.keep_clean(df, []).count() == 202
+    assert decontaminate.keep_clean(df, []).count() == 206
 
 
 def test_recall_of_the_latent_search(spark):
