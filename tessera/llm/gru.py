@@ -12,7 +12,7 @@ import numpy as np
 
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 8, 4096
 #: Words in a window, and between the starts of two windows.
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 8
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,33 +1,35 @@
 """Toxicity of whole documents: a bidirectional recurrent network scores every window of words; the worst window counts.
 
-Windows of WINDOW words start every STRIDE words and the last ends with the text, so all words are seen, half of them
-twice. The network learns which windows come from documents labelled toxic; a logistic curve over the highest logit,
-fitted on training documents that the network didn't see and weighted back to the labels' own rates, gives the score.
+Windows of WINDOW words start every STRIDE words and the last ends with the text, so all words are seen and any phrase of
+WINDOW - STRIDE + 1 words lies whole in some window. The network learns which windows come from documents labelled toxic.
+A logistic curve over the highest logit, weighted back to the labels' own rates, gives the score; it is fitted by
+cross-fitting, on logits of documents that the network in question didn't see, so few labels do as well.
 
 Defined results: a null text and a text without words score `Model.empty`, the curve's value below all of its training
-documents; repeated rows get equal scores; without labels of both kinds every score is the share of toxic labels (0 with
-no label at all); an empty table gives an empty result.
+documents; repeated rows get equal scores; very long texts are read whole; extra columns of any name are left as they are;
+without labels of both kinds every score is the share of toxic labels (0 with no label at all); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import Ids, bounded, plain, split_words, word_ids
-from tessera.llm.common import among, free_name, held_out, sampled
+from tessera.llm.common import free_name, held_out, kept, sampled
 from tessera.llm.gru import STRIDE, WINDOW, Adam, Network, trigrams
 
-#: Training documents of each class, the characters of one, windows of each class; words of the vocabulary.
-SAMPLE, LONGEST, WINDOWS, VOCABULARY = 1_500, 30_000, 10_000, 20_000
-BATCH, STEPS, THRESHOLD = 256, 240, 0.3
+#: Training documents of each class, windows of one of them, windows of each class; words of the vocabulary.
+SAMPLE, PER_TEXT, WINDOWS, VOCABULARY = 1_500, 256, 10_000, 20_000
+BATCH, STEPS, THRESHOLD, FOLDS = 256, 240, 0.3, 2
 
 
 @dataclass
@@ -81,31 +83,24 @@ def word_rows(network: Network) -> Ids:
     return Ids(known, rows, network.inputs)
 
 
-def train(texts: list[str], y: np.ndarray, rate: float, seed: int = 7) -> Model:
-    """A model from `plain` texts in random order and their labels; rate is the share of toxic labels among all."""
-    if len(set(y.tolist())) < 2:
-        return Model(None, 0.0, 0.0, rate)
+def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
+    """A network from windows, as `plain` texts in random order, and the labels of their documents."""
     rng = np.random.default_rng(seed)
-    hold = np.zeros(len(y), bool)
-    for c in (0, 1):  # a fifth of each class is for the curve
-        at = np.flatnonzero(y == c)
-        hold[at[: max(1, len(at) // 5)]] = True
     tokens = [split_words(t) for t in texts]
-    held_in = Counter(w for t, h in zip(tokens, hold, strict=True) if not h for w in set(t))
-    least = 2 if len(y) < 1000 else 4
-    words = sorted((w for w, n in held_in.items() if n >= least), key=lambda w: (-held_in[w], w))[:VOCABULARY]
+    seen = Counter(w for t in tokens for w in set(t))
+    least = 2 if len(y) < 4000 else 4
+    words = sorted((w for w, n in seen.items() if n >= least), key=lambda w: (-seen[w], w))[:VOCABULARY]
     network = Network.fresh(words, seed)
 
     vocabulary = {w: i + 1 for i, w in enumerate(words)}
     distinct: dict[str, int] = {"": 0}
-    spelled = [distinct.setdefault(w, len(distinct)) for t, h in zip(tokens, hold, strict=True) if not h for w in t]
+    wide = np.zeros((len(tokens), WINDOW), np.int32)
+    for row, t in zip(wide, tokens, strict=True):
+        row[: len(t)] = [distinct.setdefault(w, len(distinct)) for w in t[:WINDOW]]
     of_word = np.array([vocabulary.get(w, 0) for w in distinct], np.int32)
     flat, sizes = trigrams(list(distinct))
     grams = np.split(flat, np.cumsum(sizes)[:-1])
-    found = np.split(np.array(spelled, np.int32), np.cumsum([len(t) for t, h in zip(tokens, hold, strict=True) if not h])[:-1])
-    wide, counts = windows(found, 0)
-    label = np.repeat(y[~hold], counts)
-    chosen = np.concatenate([rng.permutation(np.flatnonzero(label == c))[:WINDOWS] for c in (0, 1)])
+    chosen = np.arange(len(y))
     adam = Adam(network.p)
     batch = min(BATCH, max(16, len(chosen) // 8))
     epochs = max(3, -(-STEPS * batch // len(chosen)))
@@ -118,39 +113,92 @@ def train(texts: list[str], y: np.ndarray, rate: float, seed: int = 7) -> Model:
             spread = spread.reshape(part.shape)
             word = of_word[part]
             word[rng.random(word.shape) < 0.1] = 0  # some words are read by their characters alone
-            _, g = network.gradients(word, (np.concatenate([grams[k] for k in here]), sizes[here]), spread, label[chosen[i : i + batch]].astype(np.float32), part == 0)
+            _, g = network.gradients(word, (np.concatenate([grams[k] for k in here]), sizes[here]), spread, y[chosen[i : i + batch]].astype(np.float32), part == 0)
             adam.step(g)
+    return network
 
-    worst = worst_windows(network, word_rows(network), [t for t, h in zip(texts, hold, strict=True) if h])
-    good = np.isfinite(worst)
-    x, t = worst[good], y[hold][good].astype(float)
+
+def curve(x: np.ndarray, t: np.ndarray, rate: float) -> tuple[float, float]:
+    """Slope and shift of a lightly bound logistic curve from logits to labels, classes weighted to the rate of toxic ones."""
     weight = np.where(t == 1, rate / max(t.sum(), 1), (1 - rate) / max((1 - t).sum(), 1)) * len(t)
     a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps of a lightly bound logistic curve
+    for _ in range(50):  # Newton steps
         q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         r, s = weight * (q - t), weight * q * (1 - q) + 1e-6
         grad = np.array([(r * x).sum() + 0.1 * (a - 1.0), r.sum() + 0.01 * b])
         hess = np.array([[(s * x * x).sum() + 0.1, (s * x).sum()], [(s * x).sum(), s.sum() + 0.01]])
         step = np.linalg.solve(hess, grad)
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -2, 2)
-    a = max(a, 0.05)
-    model = Model(network, float(a), float(b), 0.0)
-    model.empty = float(model.scores(np.array([x.min() if len(x) else -5.0]))[0])
-    return model
+    return max(float(a), 0.05), float(b)
+
+
+def sample_windows(rows: DataFrame) -> DataFrame:
+    """y, fold, number (a hash) and text of windows of the rows (__y, __fold, __text), at most PER_TEXT of each: those of the
+    lowest hash of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "__text"):
+            out = []
+            for y, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = split_words(text)
+                found = [" ".join(words[a : a + WINDOW]) for a in starts(len(words)).tolist()]
+                out += sorted((xxhash.xxh64_intdigest(f) - (1 << 63), y, fold, f) for f in found)[:PER_TEXT]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["number", "y", "fold", "text"])
+
+    return rows.select("__y", "__fold", "__text").mapInArrow(run, "number long, y int, fold int, text string")
+
+
+def worst_logits(rows: DataFrame, networks: list[Network]) -> tuple[np.ndarray, np.ndarray]:
+    """The highest logit of each of the rows by the network of its fold, and its label; rows without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [word_rows(n) for n in networks]
+        for batch in bounded(batches, "__text"):
+            y, fold, texts = (c.to_pylist() for c in batch.columns)
+            worst = np.full(len(texts), -np.inf)
+            for k, network in enumerate(networks):
+                mine = [i for i, f in enumerate(fold) if f == k]
+                if mine:
+                    worst[mine] = worst_windows(network, known[k], [texts[i] for i in mine])
+            yield pa.RecordBatch.from_arrays([pa.array(worst), pa.array(y, pa.int32())], ["worst", "y"])
+
+    found = rows.select("__y", "__fold", "__text").mapInArrow(run, "worst double, y int").collect()  # of the bounded sample
+    found = [r for r in found if np.isfinite(r["worst"])]
+    return np.array([r["worst"] for r in found]), np.array([r["y"] for r in found], float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Learns from labelled documents that aren't held out: at most SAMPLE of each class, chosen by hash of the key, of
-    at most LONGEST characters each."""
+    """Learns from labelled documents that aren't held out: at most SAMPLE of each class, chosen by hash of the key, and at
+    most PER_TEXT windows of one and WINDOWS of a class, chosen by hash of their words. Texts are read on executors."""
+    spark = docs.sparkSession
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("__y"))
     rates = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
-    chosen = [sampled(known.where(F.col("__y") == c), key, SAMPLE, "toxic") for c in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1])
-    rows = among(docs.where(F.col(text).isNotNull() & (F.length(text) <= LONGEST)).select(F.col(key), plain(F.col(text)).alias("__text")), chosen, key)
-    rows = rows.join(F.broadcast(chosen), key).select("__text", "__y", key).collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[key]).encode()), r["__text"]))
     total = sum(rates.values())
-    return train([r["__text"] for r in rows], np.array([int(r["__y"]) for r in rows]), rates.get(1, 0) / total if total else 0.0)
+    rate = rates.get(1, 0) / total if total else 0.0
+    if not rates.get(0) or not rates.get(1):
+        return Model(None, 0.0, 0.0, rate)
+    chosen = [(r[key], c, i % FOLDS) for c in (0, 1) for i, r in enumerate(sampled(known.where(F.col("__y") == c).select(key), key, SAMPLE, "toxic").collect())]
+    of = spark.createDataFrame(chosen, f"__key {labels.schema[key].dataType.simpleString()}, __y int, __fold int")
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("__raw")).join(F.broadcast(of), F.col("__id") == F.col("__key"))
+    rows = kept(rows.select("__y", "__fold", plain(F.col("__raw")).alias("__text")), "labelled")
+    windows_ = kept(sample_windows(rows), "windows")
+    found = [r for c in (0, 1) for r in sampled(windows_.where(F.col("y") == c), "number", WINDOWS, "windows").collect()]
+    found.sort(key=lambda r: (xxhash.xxh64_intdigest(r["text"]), r["y"], r["fold"]))
+    texts, y, fold = [r["text"] for r in found], np.array([r["y"] for r in found]), np.array([r["fold"] for r in found])
+    del found
+    if len(set(y.tolist())) < 2:
+        return Model(None, 0.0, 0.0, rate)
+    network = train(texts, y)
+    apart = [fold != k for k in range(FOLDS)]
+    if all(len(set(y[a].tolist())) == 2 for a in apart):
+        x, t = worst_logits(rows, [train([w for w, k in zip(texts, a.tolist(), strict=True) if k], y[a], 11 + i) for i, a in enumerate(apart)])
+    else:  # a class of one document
+        x, t = worst_logits(rows, [network] * FOLDS)
+    slope, shift = curve(x, t, rate)
+    model = Model(network, slope, shift, 0.0)
+    model.empty = float(model.scores(np.array([x.min() if len(x) else -5.0]))[0])
+    return model
 
 
 def batch_scores(model: Model, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
