@@ -120,16 +120,26 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
 
 def curve(x: np.ndarray, t: np.ndarray, rate: float) -> tuple[float, float]:
     """Slope and shift of a lightly bound logistic curve from logits to labels, classes weighted to the rate of toxic ones."""
+    if not len(x):
+        return 1.0, 0.0
+    mean, scale = float(x.mean()), max(float(x.std()), 1e-6)
+    z = (x - mean) / scale  # else large logits saturate the first steps
     weight = np.where(t == 1, rate / max(t.sum(), 1), (1 - rate) / max((1 - t).sum(), 1)) * len(t)
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps
-        q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        r, s = weight * (q - t), weight * q * (1 - q) + 1e-6
-        grad = np.array([(r * x).sum() + 0.1 * (a - 1.0), r.sum() + 0.01 * b])
-        hess = np.array([[(s * x * x).sum() + 0.1, (s * x).sum()], [(s * x).sum(), s.sum() + 0.01]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -2, 2)
-    return max(float(a), 0.05), float(b)
+    loss = lambda a, b: float((weight * (np.logaddexp(0, a * z + b) - t * (a * z + b))).sum() + 0.05 * (a - 1) ** 2 + 0.005 * b * b)
+    a, b = 1.0, float(np.log(rate / (1 - rate)))
+    for _ in range(100):  # Newton steps, halved until the loss falls
+        q = 1 / (1 + np.exp(-np.clip(a * z + b, -500, 500)))
+        r, s = weight * (q - t), weight * q * (1 - q)
+        grad = np.array([(r * z).sum() + 0.1 * (a - 1), r.sum() + 0.01 * b])
+        hess = np.array([[(s * z * z).sum() + 0.1, (s * z).sum()], [(s * z).sum(), s.sum() + 0.01]])
+        step, now = np.linalg.solve(hess, grad), loss(a, b)
+        while loss(a - step[0], b - step[1]) > now and abs(step).max() > 1e-9:
+            step = step / 2
+        a, b = a - float(step[0]), b - float(step[1])
+        if abs(step).max() < 1e-7:
+            break
+    a = max(a, 0.05)
+    return a / scale, b - a * mean / scale
 
 
 def sample_windows(rows: DataFrame) -> DataFrame:

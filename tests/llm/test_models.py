@@ -76,6 +76,20 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.keep_clean(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize(("low", "high", "wide"), [(6.0, 10.6, 1.5), (-3.0, 2.0, 0.5), (60.0, 90.0, 8.0), (-9.0, -5.0, 1.0)])
+def test_curve_parts_classes_at_any_scale(low, high, wide):
+    """The curve's gradient vanishes, and logits of two classes apart are parted whatever their place and scale."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(low, wide, 1500), rng.normal(high, wide / 3, 1500)])
+    t = np.repeat([0.0, 1.0], 1500)
+    a, b = toxicity.curve(x, t, 0.1)
+    p = 1 / (1 + np.exp(-(a * x + b)))
+    assert (p[t == 0] >= toxicity.THRESHOLD).mean() < 0.03 and (p[t == 1] >= toxicity.THRESHOLD).mean() > 0.9
+    weight = np.where(t == 1, 0.1, 0.9) / 1500
+    assert abs((weight * (p - t)).sum()) < 2e-3
+    assert toxicity.curve(x[:0], t[:0], 0.5) == (1.0, 0.0)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], DOC)
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
