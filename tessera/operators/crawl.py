@@ -6,6 +6,8 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +22,27 @@ class RewriteRule:
     pattern: str
     replacement: str
 
-    def valid(self) -> bool:
+    def translated(self) -> tuple[str, str] | None:
+        """Pattern and replacement in the syntax that Spark runs, named groups by number; None if either side rejects the rule."""
         try:
-            re.compile(self.pattern)
-        except re.error:
-            return False
-        return True
+            names = re.compile(self.pattern).groupindex
+            pattern = re.sub(r"\(\?P<\w+>", "(", self.pattern)
+            pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{names[m[1]]}", pattern)
+
+            def part(m: re.Match) -> str:
+                group = m["name"] or m["number"]
+                if group:
+                    return f"${group if group.isdigit() else names[group]}"
+                return m[0] if m[0] == "\\\\" else f"\\{m[0]}"
+
+            replacement = re.sub(r"\\g<(?P<name>\w+)>|\\(?P<number>\d{1,2})|\\\\|[\\$]", part, self.replacement)
+            SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (re.error, KeyError, Py4JJavaError):
+            return None
+        return pattern, replacement
+
+    def valid(self) -> bool:
+        return self.translated() is not None
 
 
 @dataclass(frozen=True)
@@ -55,16 +72,19 @@ def source_name(url: Column) -> Column:
 def rewrite(url: Column, sitemap: Column, rules: Sequence[RewriteRule]) -> Column:
     """The url by the first valid rule whose sitemap and pattern fit; else as it is."""
     out = url
-    for rule in reversed([r for r in rules if r.valid()]):
-        fits = sitemap.startswith(rule.sitemap_pattern.replace("*", "")) & url.rlike(f"^(?:{rule.pattern})")
-        out = F.when(fits, F.regexp_replace(url, rule.pattern, re.sub(r"\\(\d)", r"$\1", rule.replacement))).otherwise(out)
+    for rule in reversed(rules):
+        if found := rule.translated():
+            fits = sitemap.startswith(rule.sitemap_pattern.replace("*", "")) & url.rlike(f"^(?:{found[0]})")
+            out = F.when(fits, F.regexp_replace(url, *found)).otherwise(out)
     return out
 
 
 def lastmod_epoch(text: Column) -> Column:
     """Seconds since 1970 of a time with an offset, a time, or a date, in UTC where no offset is given; else null."""
-    whole = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[XXX][XX]"))
-    return F.coalesce(whole, F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("long")
+    day, second = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"
+    whole = F.when(text.rlike(day), F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(second), F.concat(text, F.lit("Z"))).otherwise(text)
+    zoned = whole.rlike(r"(Z|[+-]\d{2}:?\d{2})$")  # else the session's zone would count
+    return F.when(zoned, F.try_to_timestamp(whole, F.lit("yyyy-MM-dd'T'HH:mm:ss[XXX][XX]")).cast("long"))
 
 
 def sitemap_cache(entries: DataFrame, order: str) -> DataFrame:

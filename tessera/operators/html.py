@@ -7,6 +7,7 @@ A block that is never closed stays, where a tree would drop the rest of the page
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,13 +25,17 @@ MAIN_B = "content|article|post|text"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def generic_text(html: Column) -> Column:
+def without_tags(html: Column) -> Column:
     out = F.coalesce(html, F.lit(""))
     for tag in BLOCKS:
         if tag not in VOID:
             out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", "\n")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
+    return F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
+
+
+def generic_text(html: Column) -> Column:
+    out = without_tags(html)
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     return trimmed_lines(out)
@@ -71,33 +76,33 @@ class Tree(HTMLParser):
 
 
 def prune(node: list, drop) -> None:
-    node[2] = [c for c in node[2] if isinstance(c, str) or not drop(c)]
-    for c in node[2]:
+    """Takes out the elements that `drop` names; by a stack, as pages nest to any depth."""
+    left = [node]
+    while left:
+        n = left.pop()
+        n[2] = [c for c in n[2] if isinstance(c, str) or not drop(c)]
+        left += [c for c in n[2] if not isinstance(c, str)]
+
+
+def nodes_of(node: list):
+    """All texts and elements below the node, in the order of the page."""
+    left = [iter(node[2])]
+    while left:
+        c = next(left[-1], None)
+        if c is None:
+            left.pop()
+            continue
+        yield c
         if not isinstance(c, str):
-            prune(c, drop)
+            left.append(iter(c[2]))
 
 
 def first(node: list, want) -> list | None:
-    for c in node[2]:
-        if not isinstance(c, str):
-            found = c if want(c) else first(c, want)
-            if found:
-                return found
-    return None
+    return next((c for c in nodes_of(node) if not isinstance(c, str) and want(c)), None)
 
 
 def text_of(node: list) -> str:
-    parts: list[str] = []
-
-    def walk(n: list) -> None:
-        for c in n[2]:
-            if isinstance(c, str):
-                if c.strip():
-                    parts.append(c.strip())
-            else:
-                walk(c)
-
-    walk(node)
+    parts = [c.strip() for c in nodes_of(node) if isinstance(c, str) and c.strip()]
     return re.sub(r"\s*\n\s*", "\n", "\n".join(parts)).strip()
 
 
@@ -119,15 +124,23 @@ def site_text(html: str | None, source: str | None) -> str:
     return text_of(root)
 
 
+def _decoded(text: pd.Series) -> pd.Series:
+    return text.map(unescape)
+
+
 def _site_texts(html: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([site_text(h, s) for h, s in zip(html, source, strict=True)])
 
 
 def with_clean_text(pages: DataFrame, html: str = "html", source: str = "source_name", out: str = "clean_text") -> DataFrame:
-    """pages with their clean text. Only the rows of the two sites go to Python."""
-    special = F.col(source).isin(SITE_A, SITE_B)
-    plain = pages.where(~F.coalesce(special, F.lit(False))).withColumn(out, generic_text(F.col(html)))
-    return plain.unionByName(pages.where(special).withColumn(out, F.pandas_udf(_site_texts, "string")(F.col(html), F.col(source))))
+    """pages with their clean text. Only rows of the two sites, and those with entities outside ENTITIES, go to Python."""
+    special = F.coalesce(F.col(source).isin(SITE_A, SITE_B), F.lit(False))
+    common = "|".join(name[1:] for name, _ in ENTITIES)
+    other = F.coalesce(F.col(html).rlike(rf"&(?!(?:{common}))(?:#|[A-Za-z])"), F.lit(False))
+    plain = pages.where(~special & ~other).withColumn(out, generic_text(F.col(html)))
+    decoded = pages.where(~special & other).withColumn(out, trimmed_lines(F.pandas_udf(_decoded, "string")(without_tags(F.col(html)))))
+    sites = pages.where(special).withColumn(out, F.pandas_udf(_site_texts, "string")(F.col(html), F.col(source)))
+    return plain.unionByName(decoded).unionByName(sites)
 
 
 def corpus_statistics(pages: DataFrame, html: str = "html", source: str = "source_name", text: str = "clean_text") -> DataFrame:

@@ -6,11 +6,12 @@ rows of bounded size and not one; df counts the whole list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import analysis
+from tessera.sources.scratch import scratch_path
 
 #: Ids in a block of a posting list, at most.
 BLOCK = 1 << 20
@@ -40,8 +41,8 @@ def posting_blocks(postings: DataFrame, key: str, block: int = BLOCK) -> DataFra
     """term, block, df, postings (ascending): a block holds the ids of a range of `block` ids; df is the term's."""
     rows = postings.withColumn("block", F.floor(F.col(key) / block).cast("long"))
     cut = rows.groupBy("term", "block").agg(F.array_sort(F.collect_set(F.col(key).cast("long"))).alias("postings"))
-    df = rows.select("term", key).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return cut.join(df, "term").select("term", "block", "df", "postings")
+    df = F.sum(F.size("postings").cast("long")).over(Window.partitionBy("term"))  # over a term's blocks, few even of a common term
+    return cut.select("term", "block", df.alias("df"), "postings")
 
 
 def inverted_index(postings: DataFrame, key: str) -> DataFrame:
@@ -51,8 +52,12 @@ def inverted_index(postings: DataFrame, key: str) -> DataFrame:
 
 
 def save_index(postings: DataFrame, key: str, path: str) -> None:
-    """Writes the blocks sorted by term, so that a term is found by the statistics of few row groups."""
-    posting_blocks(postings, key).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(path)
+    """Writes the blocks sorted by term, so that a term is found by the statistics of few row groups. The blocks are written
+    once before they are sorted, as ranges are found by a sample that would make them again."""
+    spark = postings.sparkSession
+    staged = scratch_path(spark, "blocks")
+    posting_blocks(postings, key).write.parquet(staged)
+    spark.read.parquet(staged).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(path)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:

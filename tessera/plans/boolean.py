@@ -148,8 +148,8 @@ def search_postings(postings: DataFrame, query: str | None, key: str = "doc_id")
 
 
 def search_index(index: DataFrame, query: str | None, key: str = "doc_id") -> DataFrame:
-    """The keys that match, from a persisted index: the terms' blocks are pushed down to the scan, and ids of a block meet
-    in that block alone, so the shuffle is on (block, id)."""
+    """The keys that match, from a persisted index: the terms are pushed down to the scan, and the lists of a block
+    meet in that block alone, as bounded arrays; only the answer is exploded."""
     try:
         node = parse(query)
     except QueryError:
@@ -162,9 +162,20 @@ def search_index(index: DataFrame, query: str | None, key: str = "doc_id") -> Da
     if isinstance(node, Term):
         return rows.where(F.col("term") == node.text).select(key)
     wanted = terms(node)
-    flags = [F.max(F.col("term") == t).alias(f"__{i}") for i, t in enumerate(wanted)]
-    found = index.where(F.col("term").isin(wanted)).select("term", F.explode("postings").alias(key)).groupBy(key).agg(*flags)
-    return found.where(predicate(node, {t: F.col(f"__{i}") for i, t in enumerate(wanted)})).select(key)
+    return index.where(F.col("term").isin(wanted)).groupBy("block").agg(*lists_of(wanted)).select(F.explode(folded(node, wanted)).alias(key))
+
+
+def lists_of(wanted: list[str]) -> list[Column]:
+    """The posting list of each term among the rows of a group, empty if it has none."""
+    empty = F.array().cast("array<bigint>")
+    return [F.coalesce(F.first(F.when(F.col("term") == t, F.col("postings")), ignorenulls=True), empty).alias(f"__{i}") for i, t in enumerate(wanted)]
+
+
+def folded(node: Node, wanted: list[str]) -> Column:
+    """The node as set operations on the columns of `lists_of`."""
+    if isinstance(node, Term):
+        return F.array_distinct(F.col(f"__{wanted.index(node.text)}"))
+    return (F.array_intersect if node.name == "AND" else F.array_union)(folded(node.left, wanted), folded(node.right, wanted))
 
 
 def search_lists(lists: DataFrame, query: str | None, key: str = "doc_id") -> DataFrame:
@@ -174,15 +185,7 @@ def search_lists(lists: DataFrame, query: str | None, key: str = "doc_id") -> Da
     except QueryError:
         return nothing(lists.select(F.explode("postings").alias(key)), key)
     wanted = terms(node)
-    empty = F.array().cast("array<bigint>")
-    one = lists.where(F.col("term").isin(wanted)).agg(*(F.coalesce(F.first(F.when(F.col("term") == t, F.col("postings")), ignorenulls=True), empty).alias(f"__{i}") for i, t in enumerate(wanted)))
-
-    def fold(n: Node) -> Column:
-        if isinstance(n, Term):
-            return F.col(f"__{wanted.index(n.text)}")
-        return (F.array_intersect if n.name == "AND" else F.array_union)(fold(n.left), fold(n.right))
-
-    return one.select(F.explode(fold(node)).alias(key))
+    return lists.where(F.col("term").isin(wanted)).agg(*lists_of(wanted)).select(F.explode(folded(node, wanted)).alias(key))
 
 
 def preview(found: DataFrame, key: str = "doc_id", k: int = 10) -> DataFrame:

@@ -56,6 +56,7 @@ BOOLEAN = {
     "bool_stop_shape": "(The oR DER) AND (with OR und)",
 }
 FLAGSHIP = "(the AND of) OR que"
+RUSSIAN = "(воинов AND драконами) OR игроков OR мечом"
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------------
@@ -90,6 +91,17 @@ def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.load_index(spark, path)
 
 
+def ru_postings(spark: SparkSession) -> DataFrame:
+    """Terms as the text pipeline makes them, stemmed as a query's terms are."""
+    return index.token_postings(text.analyze(ru_docs(spark), "doc_id", "text"), "doc_id")
+
+
+def ru_index(spark: SparkSession) -> DataFrame:
+    path = scratch_path(spark, "index")
+    index.save_index(ru_postings(spark), "doc_id", path)
+    return index.load_index(spark, path)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
 
@@ -178,6 +190,9 @@ QUERIES = {
     "search_exact": lambda s, d: index.search_exact(saved_index(s, d), "with"),
     "bool_index": lambda s, d: boolean.search_index(saved_index(s, d), FLAGSHIP),
     "bool_lists": lambda s, d: boolean.search_lists(index.inverted_index(postings(s, d), "doc_id"), FLAGSHIP),
+    "bool_russian": lambda s, d: boolean.search_postings(ru_postings(s), RUSSIAN),
+    "bool_russian_index": lambda s, d: boolean.search_index(ru_index(s), RUSSIAN),
+    "index_roundtrip_ru": lambda s, d: ru_index(s).select("term", "df", F.explode("postings").alias("doc_id")),
     "bool_search_topk": lambda s, d: boolean.preview(flagship(s, d)),
     "bool_invalid_is_empty": boolean_query("the of"),
     "bool_conversations": boolean_query(FLAGSHIP, turns),
@@ -292,6 +307,8 @@ CACHE = "(SELECT url, arg_max(printf('2024-01-%02d', page_id % 28 + 1), page_id)
 CRAWL = f"""SELECT c.url, s.url IS NULL AS is_new, s.url IS NOT NULL AND {NOW} - s.crawl_time >= {crawl.INTERVAL_SECONDS} AS time_ok,
  s.url IS NOT NULL AND epoch(strptime(c.lastmod, '%Y-%m-%d')) > s.crawl_time AS modified FROM {CACHE} c LEFT JOIN {STORE} s ON c.url = s.url"""
 CAPPED = sql_postings()
+RU_DOCS = f"(SELECT doc_id::BIGINT AS doc_id, text FROM {values(RU_TEXTS, 'doc_id, text')})"
+RU_TERMS = f"SELECT DISTINCT doc_id, unnest(string_split(tokens, ' ')) AS term FROM ({sql_pipeline(RU_DOCS)}) WHERE tokens <> ''"
 
 ORACLES = {
     "token_count_per_doc": f"SELECT doc_id, len(t)::BIGINT AS token_count, length(array_to_string(t, ''))::BIGINT AS total_token_length, strlen(text)::BIGINT AS input_size_bytes FROM (SELECT doc_id, text, {TOK} AS t FROM documents)",
@@ -318,6 +335,9 @@ ORACLES = {
     "search_exact": f"SELECT doc_id FROM ({CAPPED}) WHERE term = 'with'",
     "bool_index": sql_boolean(FLAGSHIP, CAPPED),
     "bool_lists": sql_boolean(FLAGSHIP, CAPPED),
+    "bool_russian": sql_boolean(RUSSIAN, RU_TERMS),
+    "bool_russian_index": sql_boolean(RUSSIAN, RU_TERMS),
+    "index_roundtrip_ru": f"SELECT term, count(*) OVER (PARTITION BY term) AS df, doc_id FROM ({RU_TERMS})",
     "bool_search_topk": f"SELECT doc_id, total, greatest(total - 10, 0) AS more FROM (SELECT doc_id, count(*) OVER () AS total FROM ({sql_boolean(FLAGSHIP, CAPPED)})) ORDER BY doc_id LIMIT 10",
     "bool_invalid_is_empty": sql_boolean("the of", CAPPED),
     "bool_conversations": sql_boolean(FLAGSHIP, sql_postings("conversations", "conv_id * 1000 + turn")),

@@ -112,3 +112,33 @@ def test_incremental_index_equals_rebuild(spark):
     build = lambda d: posting_blocks(postings(d, "doc_id", "text"), "doc_id")
     order = lambda d: [tuple(r) for r in d.orderBy("term", "block").collect()]
     assert order(ingest.merge_index(build(before), change)) == order(build(after))
+
+
+def test_rewrite_rules_of_both_syntaxes(spark):
+    rules = (
+        crawl.RewriteRule("s", r"^https://(?P<host>[a-z_]+)/(?P<n>\d+)(?P=n)$", r"https://\g<host>/$\g<n>\\"),
+        crawl.RewriteRule("s", r"(?P<broken", "never"),
+        crawl.RewriteRule("s", r"x(?(1)a|b)", "only the first syntax has it"),
+        crawl.RewriteRule("s", r"^(a)(b)", r"\2$1"),
+    )
+    rows = [("https://h_t/1212",), ("abc",), ("other",), (None,)]
+    got = spark.createDataFrame(rows, "url string").select(crawl.rewrite(F.col("url"), F.lit("s1"), rules).alias("u")).collect()
+    assert [r["u"] for r in got] == ["https://h_t/$12\\", "b$1c", "other", None]
+
+
+def test_lastmod_is_in_utc_in_any_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [("2024-01-02",), ("2024-01-02T03:04:05",), ("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05+0300",), ("2024-01-02T03:04:05+03:00",), ("2024-01-02T03:04:05.5Z",), ("bad",), (None,)]
+        got = [r["e"] for r in spark.createDataFrame(rows, "t string").select(crawl.lastmod_epoch(F.col("t")).alias("e")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [1704153600, 1704164645, 1704164645, 1704153845, 1704153845, None, None, None]
+
+
+def test_deep_pages_and_all_entities(spark):
+    deep = "<div>" * 3000 + "core" + "</div>" * 3000
+    rows = [(1, html.SITE_A, f"<body>{deep}</body>"), (2, "x", "<p>caf&eacute; &rsquo;&#1071;&#x41; &amp;rsquo;</p><p>&copy; a & b</p>"), (3, "x", "<p>&amp;copy; &lt;b&gt;</p>")]
+    got = {r["k"]: r["clean_text"] for r in html.with_clean_text(spark.createDataFrame(rows, "k int, source_name string, html string")).collect()}
+    assert got == {1: "core", 2: "café ’ЯA &rsquo;\n© a & b", 3: "&copy; <b>"}
