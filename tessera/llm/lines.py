@@ -12,8 +12,8 @@ and the others emit them in the changed half alone. This prefilter loses nothing
 A line is dropped if the same line, or a near one, comes earlier in the order of (id, place in the text). Lines of under
 `min_words` words have no near lines, as one edit would make most of them alike; the same line is looked for from
 `exact_words` words on (from min_words if that is None; 1 takes every line that has a word). Defined results: empty lines
-always stay; a null text has no lines; a null id sorts first; rows repeated whole share their fate; an empty table gives an
-empty result.
+always stay; a null text has no lines; a null id sorts first; rows repeated whole share their fate; very long texts are read
+whole; extra columns of any name are left as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import GAP, kept
+from tessera.llm.common import GAP, free_name, kept
 
 MIN_WORDS = 8
-#: Candidate lines up to so many are looked up by broadcast (under 100 MB); more by a shuffle join.
-BROADCAST_LINES = 1_000_000
+#: Candidate lines up to so many are looked up by broadcast (about 45 MB); more by a shuffle join.
+BROADCAST_LINES = 200_000
 
 
 def _lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
@@ -124,7 +124,8 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """docs with the dropped lines taken out of the text, and all other columns as they were."""
-    gone = dropped_lines(docs, key, text, min_words, exact_words).distinct().groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("place").alias("__gone"))
-    joined = docs.join(gone, docs[key].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text]) == gone["__row"]), "left")
-    left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i))
-    return joined.select(*(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text else docs[c] for c in docs.columns))
+    at, row, places = (free_name(docs, n) for n in ("__id", "__row", "__gone"))
+    gone = dropped_lines(docs, key, text, min_words, exact_words).distinct().groupBy(F.col("id").alias(at), F.col("row").alias(row)).agg(F.collect_set("place").alias(places))
+    joined = docs.join(gone, docs[key].eqNullSafe(gone[at]) & (F.xxhash64(docs[text]) == gone[row]), "left")
+    left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.coalesce(places, F.array().cast("array<int>")), i))
+    return joined.select(*(F.when(F.col(places).isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text else docs[c] for c in docs.columns))

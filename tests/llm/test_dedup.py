@@ -453,7 +453,28 @@ def test_pipeline(spark, sf):
         counts.append(docs.count())
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == counts[-1] and last.where("shard between 0 and 15").count() == counts[-1]
-    assert counts[0] > counts[1] >= counts[2] >= counts[3] > 0
+    assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0  # what the first stage drops: test_toxicity_stage_on_known_rows
+
+
+def test_toxicity_stage_on_known_rows(spark, tmp_path):
+    """Toxic documents go, clean ones stay, the labelled and the held-out ones alike."""
+    import zlib
+
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.randint(0, 60)}" for _ in range(rng.randint(10, 120))]
+        if i % 8 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["vileword", "nastyword"]))
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame([r[:2] for r in rows], DOC), str(tmp_path)).collect()}
+    for held in (False, True):
+        mine = [(i in left, y) for i, _, y in rows if (zlib.crc32(str(i).encode()) % 4 == 2) == held]
+        assert sum(not stays for stays, y in mine if y) >= 0.9 * sum(y for _, y in mine)
+        assert sum(stays for stays, y in mine if not y) >= 0.97 * sum(1 - y for _, y in mine)
 
 
 def test_pipeline_stages_take_odd_rows(spark, sf):
