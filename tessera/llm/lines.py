@@ -84,7 +84,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     halves = F.when(n >= min_words, F.array(*(k for _, k in _halves(F.col("words"), n))))  # without halves a line is near none
     at = kept(rows.select("id", "row", "place", "h", "chars", halves.alias("halves")), "lines")
     first = F.min(F.struct("id", "place")).alias("first")
-    distinct = kept(at.groupBy("h", "chars").agg(first, F.first("halves").alias("halves")), "distinct-lines")
+    distinct = kept(at.groupBy("h", "chars").agg(first, F.count(F.lit(1)).alias("copies"), F.first("halves").alias("halves")), "distinct-lines")
 
     sides = F.array(*(F.lit(s) for s in ("tail", "head", "tail", "head")))
     halves = distinct.select("h", "chars", "first", F.explode(F.arrays_zip(F.col("halves").alias("half"), sides.alias("side"))).alias("x")).select("h", "chars", "first", "x.half", "x.side")
@@ -105,8 +105,11 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     links = links.join(mine.select("h", "chars", "words"), ["h", "chars"]).join(theirs, (F.col("head.h") == F.col("oh")) & (F.col("head.chars") == F.col("ochars")))
     links = links.where(_one_edit(F.col("words"), F.col("others"))).select("h", "chars", F.col("head.first").alias("near"))
 
-    # The witness of a line is the earlier of the line's own first place and the near line's.
-    fate = distinct.select("h", "chars", "first").join(links, ["h", "chars"], "left").select("h", "chars", F.least("first", F.coalesce("near", "first")).alias("witness"))
+    # The witness of a line is the earlier of the line's own first place and the near line's. A line that occurs once and is
+    # near none stays; the others' fates are written, so that both sides of the last join are plain reads and a very common
+    # line's occurrences can be split.
+    fate = distinct.select("h", "chars", "first", "copies").join(links, ["h", "chars"], "left").where("copies > 1 or near is not null")
+    fate = kept(fate.select("h", "chars", F.least("first", F.coalesce("near", "first")).alias("witness")), "fates")
     out = at.select("id", "row", "place", "h", "chars").join(fate, ["h", "chars"])
     out = out.where(~(F.col("id").eqNullSafe(F.col("witness.id")) & (F.col("place") == F.col("witness.place"))))
     return out.select("id", "row", "place", F.col("witness.id").alias("first_id"), F.col("witness.place").alias("first_place"))
