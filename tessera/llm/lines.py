@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import GAP, free_name, kept
+from tessera.llm.common import free_name, kept
 
 MIN_WORDS = 8
 #: Candidate lines up to so many are looked up by broadcast (about 45 MB); more by a shuffle join.
@@ -32,7 +32,9 @@ BROADCAST_LINES = 200_000
 def _lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """Lines of at least min_words words: key, the text's hash, place, words, and the line's identity (hash and length)."""
     # Words come out of the generator, so the filter on their number doesn't split the lines once more.
-    split = F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda line: F.array_remove(F.split(line, GAP), ""))
+    # Other white space becomes a space first: to split at one plain character compiles no pattern for each line.
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x09\x0B-\x0D]", " ")
+    split = F.transform(F.split(plain, "\n"), lambda line: F.array_remove(F.split(line, " "), ""))
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(split).alias("place", "words")).where(F.size("words") >= min_words)
     return rows.withColumn("h", F.xxhash64("words")).withColumn("chars", F.length(F.array_join("words", "")))
 
