@@ -95,7 +95,11 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     near = kept(near, "near-lines")
 
     few = near.count() <= BROADCAST_LINES
-    texts = rows.select("h", "chars", "words", "id", "place").join(F.broadcast(near) if few else near, ["h", "chars"])
+    # Only texts in which such a line comes first are split once more.
+    name = free_name(docs, "__first")
+    ids = near.select(F.col("first.id").alias(name)).distinct()
+    there = docs.join(F.broadcast(ids) if few else ids, docs[key].eqNullSafe(F.col(name)), "left_semi")
+    texts = _lines(there, key, text, min_words).select("h", "chars", "words", "id", "place").join(F.broadcast(near) if few else near, ["h", "chars"])
     texts = texts.where((F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("place") == F.col("first.place")))
     texts = kept(texts.groupBy("h", "chars").agg(F.first("first").alias("first"), F.first("sides").alias("sides"), F.first("words").alias("words")), "near-texts")
 
