@@ -13,6 +13,7 @@ empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -159,6 +160,23 @@ def sample_windows(rows: DataFrame) -> DataFrame:
     return rows.select("__y", "__fold", "__text").mapInArrow(run, "number long, y int, fold int, text string")
 
 
+def networks(found: DataFrame, folds: int) -> list[Network]:
+    """A network from all of the windows, a bounded sample, and one without each of the first `folds` folds. Each learns in
+    a task of its own, so that the driver holds no training data."""
+
+    def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        own = [r for r in table.to_pylist() if r["fold"] != number - 1]
+        own.sort(key=lambda r: (xxhash.xxh64_intdigest(r["text"]), r["y"], r["fold"]))
+        made = train([r["text"] for r in own], np.array([r["y"] for r in own]), 10 + number if number else 7)
+        return pa.table({"number": pa.array([number], pa.int32()), "made": pa.array([pickle.dumps(made)], pa.binary())})
+
+    each = found.withColumn("number", F.explode(F.array(*(F.lit(k) for k in range(folds + 1)))))
+    each = each.repartition(4 * (folds + 1), "number")  # a number given is kept, so that the networks learn side by side
+    made = {r["number"]: r["made"] for r in each.groupBy("number").applyInArrow(run, "number int, made binary").collect()}
+    return [pickle.loads(made[k]) for k in sorted(made)]
+
+
 def worst_logits(rows: DataFrame, networks: list[Network]) -> tuple[np.ndarray, np.ndarray]:
     """The highest logit of each of the rows by the network of its fold, and its label; rows without words are left out."""
 
@@ -193,18 +211,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("__raw")).join(F.broadcast(of), F.col("__id") == F.col("__key"))
     rows = kept(rows.select("__y", "__fold", plain(F.col("__raw")).alias("__text")), "labelled")
     windows_ = kept(sample_windows(rows), "windows")
-    found = [r for c in (0, 1) for r in sampled(windows_.where(F.col("y") == c), "number", WINDOWS, "windows").collect()]
-    found.sort(key=lambda r: (xxhash.xxh64_intdigest(r["text"]), r["y"], r["fold"]))
-    texts, y, fold = [r["text"] for r in found], np.array([r["y"] for r in found]), np.array([r["fold"] for r in found])
-    del found
-    if len(set(y.tolist())) < 2:
+    found = [sampled(windows_.where(F.col("y") == c), "number", WINDOWS, "windows") for c in (0, 1)]
+    found = kept(found[0].unionByName(found[1]), "training")
+    seen = {(r["y"], r["fold"]) for r in found.select("y", "fold").distinct().collect()}
+    if len({y for y, _ in seen}) < 2:
         return Model(None, 0.0, 0.0, rate)
-    network = train(texts, y)
-    apart = [fold != k for k in range(FOLDS)]
-    if all(len(set(y[a].tolist())) == 2 for a in apart):
-        x, t = worst_logits(rows, [train([w for w, k in zip(texts, a.tolist(), strict=True) if k], y[a], 11 + i) for i, a in enumerate(apart)])
-    else:  # a class of one document
-        x, t = worst_logits(rows, [network] * FOLDS)
+    network, *apart = networks(found, FOLDS if all(len({y for y, f in seen if f != k}) == 2 for k in range(FOLDS)) else 0)
+    x, t = worst_logits(rows, apart or [network] * FOLDS)  # else a class is of one document
     slope, shift = curve(x, t, rate)
     model = Model(network, slope, shift, 0.0)
     model.empty = float(model.scores(np.array([x.min() if len(x) else -5.0]))[0])
