@@ -211,6 +211,14 @@ def test_leaks_found_and_clean_kept(spark):
     assert decontaminate.keep_clean(df, []).count() == 206
 
 
+def test_basis_made_block_by_block():
+    rng = np.random.default_rng(3)
+    for y in (rng.standard_normal((1000, 7)), np.pad(rng.standard_normal((20, 7)), ((900, 80), (0, 0))), rng.standard_normal((9, 7))):
+        q = decontaminate.orthonormal(y.astype(np.float32), 64)
+        assert q.shape == y.shape and abs(q.T @ q - np.eye(7)).max() < 1e-5
+        assert abs(q @ (q.T @ y) - y).max() < 1e-4  # it spans y's columns
+
+
 def test_recall_of_the_latent_search(spark):
     """Pairs that a brute-force common subsequence finds are candidates by cosine."""
     docs, items, _ = bench_corpus(9)
