@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept
+from tessera.llm.common import kept, release
 
 #: Links that one step of a task holds.
 LINKS = 1 << 20
@@ -122,6 +122,7 @@ def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possibl
     pairs = kept(pairs, f"{name}-pairs")
     best = kept(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), f"{name}-best")
     parts = kept(components(kept(alike(best), f"{name}-links"), f"{name}-stars"), f"{name}-parts")
+    release(buckets.sparkSession)
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -160,6 +161,7 @@ def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possibl
     for number in range(1, HUB_ROUNDS):
         if rows.isEmpty():
             return parts
+        release(buckets.sparkSession)
         rows, star = hubs(rows, number)
         rows = moved_on(rows, more(star))
     if rows.isEmpty():

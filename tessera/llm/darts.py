@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import bounded
-from tessera.llm.common import free_name, kept
+from tessera.llm.common import free_name, kept, release
 from tessera.llm.components import MAP, settled, small, within_reach
 from tessera.llm.hashing import mixed, word_hashes
 
@@ -210,12 +210,14 @@ def node_classes(table: DataFrame, docs: DataFrame, key: str, text: str, thresho
     buckets = kept(rows.join(shared, "band", "left_semi").distinct(), "buckets")  # of two nodes or more
     places = table.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(key).alias("id"))
     units = kept(_units(docs, key, text, kept(places, "places")), "units")
+    release(docs.sparkSession)
     alike = lambda pairs: verified(pairs, units, threshold)
     return settled(buckets, alike, lambda open_: within_reach(open_, elements(units), threshold), "near")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of docs: key, node and class_id, the least key of its class; a null text's class is its own key."""
+    release(docs.sparkSession)  # of what ran before, as the jobs to come are many
     table = kept(signed(docs, key, text), "signed")
     parts = node_classes(table, docs, key, text, threshold)
     own = table.where("node is not null").groupBy("node").agg(F.min(key).alias("least"))
