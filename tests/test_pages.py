@@ -163,3 +163,8 @@ REPEATED = [(i, f"https://h{i % 7}.example/{i % 11}", "x") for i in reversed(ran
 def test_upsert_of_repeated_urls(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "crawl_upsert", REPEATED)
     assert got == want and len(got) == 77
+
+
+def test_plan_of_repeated_urls(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "crawl_plan", REPEATED)
+    assert got == want and len(got) == 77
