@@ -2,7 +2,7 @@
 
 Texts become 32-bit hashes of their words once. Passages of PASSAGE words, one every STRIDE words, and the benchmark items
 are TF-IDF vectors over BUCKETS of hashes; document frequencies come from all documents. A randomised SVD, whose products
-run on the executors over a bounded sample of passages and all items, gives RANK right singular vectors; scaled to equal
+run on the executors over all passages of all documents and items, gives RANK right singular vectors; scaled to equal
 variance they are the latent space. Every passage is projected and compared with every item, in blocks, by cosine. For
 candidates, the longest common subsequence of the item's content words (those in at most COMMON of the documents) and of
 the words around the passage decides: LIKE of the item or more is a leak, PARAPHRASE or more is one if the item's answer
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import bounded
-from tessera.llm.common import among, kept, sampled
+from tessera.llm.common import kept
 from tessera.llm.hashing import mixed, word_hashes, words_of
 
 PASSAGE, STRIDE, BUCKETS, RANK, OVERSAMPLE = 48, 24, 1 << 16, 48, 8
-#: Documents whose passages the SVD is fitted on, and the longest of them in words; items that are searched at once.
-SAMPLE, LONGEST, ITEMS = 3_000, 4_000, 100_000
+#: Items that are searched at once; blocks of words whose latent rows are held at once, and buckets of one row of a sketch.
+ITEMS, STEP, PART = 100_000, 4096, 1024
 COMMON, MIN_CONTENT = 0.1, 6
 COSINE, LIKE, PARAPHRASE, ANSWER, MIN_WORDS, MIN_EXACT, MIN_ANSWER = 0.35, 0.7, 0.5, 0.8, 8, 4, 5
 #: The share that an item of common words needs, as those come together by chance.
@@ -169,30 +169,66 @@ def document_frequencies(table: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def sample_passages(table: DataFrame, items: DataFrame, key: str, idf: np.ndarray) -> DataFrame:
-    """Sparse unit TF-IDF rows (buckets, weights) of the sample's passages and of all items; a few MB by the bounds."""
-    short = table.where(F.col(key).isNotNull() & (F.octet_length("words") <= 4 * LONGEST))
-    rows = among(short, sampled(short.select(key), key, SAMPLE, "svd"), key).select("words").unionByName(items.select("words")).repartition(8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "words"):
-            at, weight = [], []
-            for words in map(buckets, arrays(batch, 0)):
-                for s in range(0, max(len(words) - STRIDE, 1), STRIDE):
-                    b, n = np.unique(words[s : s + PASSAGE], return_counts=True)
-                    if len(b):
-                        w = n * idf[b]
-                        at.append(b)
-                        weight.append(w / np.sqrt((w * w).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float32()))], ["at", "weight"])
-
-    return kept(rows.mapInArrow(run, "at array<int>, weight array<float>"), "sample")
+def padded(bucket: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The buckets of blocks of up to STRIDE words, in as many rows: the first words of all blocks, then the second ones, ...
+    BUCKETS where a block has no more words."""
+    at = start + np.arange(STRIDE)[:, None]
+    return np.where(at < end, bucket[np.minimum(at, len(bucket) - 1)], BUCKETS)
+
+
+def fit_passages(found: list[np.ndarray], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All passages of texts, given as their words' hashes, in steps: the `padded` blocks, of which the last may be one
+    beyond; which passages (one starts with each block) go on with the next; and 1 / the length of each TF-IDF vector."""
+    bucket = buckets(np.concatenate(found)).astype(np.int32) if found else np.empty(0, np.int32)
+    start, _, more = passages(np.array([len(f) for f in found], np.int64))
+    close = np.append(start[1:], len(bucket))
+    square = np.append(idf.astype(np.float64) ** 2, 0)
+    for i in range(0, len(start), STEP):
+        last = min(i + STEP, len(start) - 1)
+        blocks = padded(bucket, start[i : last + 1], close[i : last + 1])
+        goes_on = more[i : i + STEP]
+        after = np.full((STRIDE, len(goes_on)), BUCKETS, blocks.dtype)
+        after[:, goes_on] = blocks[:, np.flatnonzero(goes_on) + 1]
+        words = np.ascontiguousarray(np.sort(np.concatenate([blocks[:, : len(goes_on)], after]).T, axis=1).T)
+        # A word that comes n times counts n * n squares: 1 + 3 + 5 + ...
+        odd, size = np.ones(len(goes_on)), square[words[0]]
+        for before, word in zip(words[:-1], words[1:], strict=True):
+            odd = np.where(word == before, odd + 2, 1)
+            size += odd * square[word]
+        yield blocks, goes_on, (1 / np.sqrt(size))[:, None].astype(np.float32)
+
+
+def passage_sums(projection: np.ndarray, blocks: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+    """Sums of the words' rows over each passage."""
+    sums = projection.take(blocks[0], axis=0)
+    for r in blocks[1:]:
+        sums += projection.take(r, axis=0)
+    out = sums[: len(goes_on)].copy()
+    joined = np.flatnonzero(goes_on)
+    out[joined] += sums[joined + 1]
+    return out
 
 
-def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at, weight = batch.column(0), batch.column(1)
-    first = at.offsets.to_numpy()[:-1] - at.offsets.to_numpy()[0]
-    return at.flatten().to_numpy(), weight.flatten().to_numpy(), first
+def add_rows(total: np.ndarray, blocks: np.ndarray, rows: np.ndarray, few: int = 16) -> None:
+    """Adds the row of each block to the total of each of its words' buckets. Buckets that come up to `few` times are added
+    together, time by time, the other ones each by itself."""
+    flat = blocks.ravel()
+    some = np.flatnonzero(flat < BUCKETS)
+    some = some[np.argsort(flat[some].astype(np.uint16), kind="stable")]
+    bucket, block = flat[some], some % blocks.shape[1]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    size = np.diff(np.append(first, len(bucket)))
+    light = np.flatnonzero(size <= few)
+    light = light[np.argsort(-size[light], kind="stable")]
+    if len(light):
+        at, n = first[light], size[light]
+        sums = rows.take(block[at], axis=0)
+        for k in range(1, int(n[0])):
+            m = int(np.searchsorted(-n, -k))  # so many come more than k times
+            sums[:m] += rows.take(block[at[:m] + k], axis=0)
+        total[bucket[at]] += sums
+    for k in np.flatnonzero(size > few).tolist():
+        total[bucket[first[k]]] += rows.take(block[first[k] : first[k] + size[k]], axis=0).sum(0)
 
 
 def orthonormal(y: np.ndarray, rows: int = 8192) -> np.ndarray:
@@ -203,50 +239,58 @@ def orthonormal(y: np.ndarray, rows: int = 8192) -> np.ndarray:
     return np.concatenate([q @ turn[end - len(r) : end] for (q, r), end in zip(parts, ends.tolist(), strict=True)])
 
 
-def singular_vectors(spark: SparkSession, rows: DataFrame, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The right singular vectors (BUCKETS by RANK at most) and singular values of the sparse rows.
+def singular_vectors(spark: SparkSession, table: DataFrame, idf: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The right singular vectors (BUCKETS by RANK at most) and singular values of the unit TF-IDF vectors of all passages
+    of the table (words).
 
     Executors make A'(AW) for a random W, summed by bucket; its orthonormal basis Q holds the leading directions after
-    a power step. They then make (AQ)'(AQ), whose eigenvectors turn Q into the singular vectors.
+    a power step. They then make (AQ)'(AQ), whose eigenvectors turn Q into the singular vectors. A task's sketch has a
+    fixed size, so a task reads as much as there is for each of two tasks a core, and 8 at least.
     """
     width = RANK + OVERSAMPLE
+    rows = table.select("words").coalesce(max(8, 2 * spark.sparkContext.defaultParallelism))
+
+    def weighted(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x * idf[:, None], np.zeros((1, width), np.float32)])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.random.default_rng(seed).standard_normal((BUCKETS, width), np.float32)
+        w = weighted(np.random.default_rng(seed).standard_normal((BUCKETS, width), np.float32))
         total = np.zeros((BUCKETS, width), np.float32)
-        for batch in batches:
-            at, weight, first = _sparse(batch)
-            if len(at):
-                y = np.add.reduceat(w[at] * weight[:, None], first, axis=0)
-                np.add.at(total, at, np.repeat(y, np.diff(np.append(first, len(at))), axis=0) * weight[:, None])
-        some = np.flatnonzero(total.any(1))
-        for i in range(0, len(some), 4096):
-            part = some[i : i + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(map(bytes, total[part])), pa.binary())], ["bucket", "y"])
+        for batch in bounded(batches, "words"):
+            for blocks, goes_on, scale in fit_passages(arrays(batch, 0), idf):
+                y = passage_sums(w, blocks, goes_on) * scale**2
+                z = np.zeros((blocks.shape[1], width), np.float32)
+                z[: len(y)] = y
+                joined = np.flatnonzero(goes_on)
+                z[joined + 1] += y[joined]
+                add_rows(total, blocks, z)
+        total *= idf[:, None]
+        for i in range(0, BUCKETS, PART):
+            if total[i : i + PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i : i + PART].tobytes()], pa.binary())], ["first", "y"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[b] = total[b] + np.frombuffer(y, np.float32) if b in total else np.frombuffer(y, np.float32)
-        parts = [np.array(list(total), np.int64).tobytes(), b"".join(x.tobytes() for x in total.values())]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["buckets", "y"])
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(part.as_buffer(), np.float32)
+        for i, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], ["first", "y"])
 
-    # One row comes from each task: the driver makes no objects for single buckets.
-    found = rows.mapInArrow(sketch, "bucket long, y binary").repartition(8, "bucket").mapInArrow(summed, "buckets binary, y binary").collect()
+    # The driver gets PART buckets in a row: it makes no objects for single buckets.
+    found = rows.mapInArrow(sketch, "first long, y binary").repartition(8, "first").mapInArrow(summed, "first long, y binary").collect()
     y = np.zeros((BUCKETS, width), np.float32)
     for r in found:
-        y[np.frombuffer(r["buckets"], np.int64)] = np.frombuffer(r["y"], np.float32).reshape(-1, width)
+        y[r["first"] : r["first"] + PART] = np.frombuffer(r["y"], np.float32).reshape(-1, width)
     del found
     q = orthonormal(y)
     sent = spark.sparkContext.broadcast(q)
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
-        for batch in batches:
-            at, weight, first = _sparse(batch)
-            if len(at):
-                b = np.add.reduceat(sent.value[at] * weight[:, None], first, axis=0)
+        total, w = np.zeros((width, width)), weighted(sent.value)
+        for batch in bounded(batches, "words"):
+            for blocks, goes_on, scale in fit_passages(arrays(batch, 0), idf):
+                b = passage_sums(w, blocks, goes_on) * scale
                 total += b.T @ b
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
 
@@ -266,8 +310,7 @@ def latent(projection: np.ndarray, words: np.ndarray, start: np.ndarray) -> np.n
 
 def block_sums(projection: np.ndarray, bucket: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Sums of the latent rows of blocks of up to STRIDE words: the first words of all blocks, then the second ones, ..."""
-    at = start + np.arange(STRIDE)[:, None]
-    rows = np.where(at < end, bucket[np.minimum(at, len(bucket) - 1)], BUCKETS)
+    rows = padded(bucket, start, end)
     out = projection.take(rows[0], axis=0)
     for r in rows[1:]:
         out += projection.take(r, axis=0)
@@ -279,7 +322,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(size, 1e-12)[:, None]
 
 
-def build(spark: SparkSession, table: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id") -> list[Index]:
+def build(spark: SparkSession, table: DataFrame, items: DataFrame, item_key: str = "item_id") -> list[Index]:
     """Indexes of at most ITEMS items each, on one latent space. table: what `hashed` made of the documents; items: columns
     item_key and text."""
     n = items.count()
@@ -287,7 +330,7 @@ def build(spark: SparkSession, table: DataFrame, items: DataFrame, key: str = "d
         return []
     seen, total = document_frequencies(table)
     idf = (np.log((total + 1) / (seen + 1)) + 1).astype(np.float32)
-    vectors, size = singular_vectors(spark, sample_passages(table, hashed(items, item_key, "text"), key, idf))
+    vectors, size = singular_vectors(spark, table.select("words").unionByName(hashed(items, item_key, "text").select("words")), idf)
     if not len(size):
         return []
     projection = np.concatenate([vectors / size * idf[:, None], np.zeros((1, len(size)))]).astype(np.float32)

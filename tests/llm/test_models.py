@@ -245,3 +245,41 @@ def test_decontaminate_query(spark, sf):
     items = {r["item_id"]: plain(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     whole = {(i, k) for i, t in docs.items() for k, b in items.items() if f" {b} " in f" {t} "}
     assert whole <= got and len(got - whole) <= 2
+
+
+def test_latent_space_is_fitted_on_all_passages(spark):
+    """Long texts too, and against the dense matrix of all passages."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, n) % 300) for n in (0, 1, 23, 24, 25, 48, 49, 500)] + [None]
+    texts.append(" ".join(f"long{x}" for x in range(30)) + " " + "of the and " * 1700)  # more than 4000 words
+    items = [(1, "what is the name of the large red house that stands on the top of the green hill by the sea")]
+    table = decontaminate.hashed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    index = decontaminate.build(spark, table, spark.createDataFrame(items, "item_id long, text string"))[0]
+    assert index.projection[decontaminate.buckets(decontaminate.hashes([f"long{x}" for x in range(30)]))].any(1).all()
+
+    seen, total = decontaminate.document_frequencies(table)
+    idf = (np.log((total + 1) / (seen + 1)) + 1).astype(np.float32)
+    rows = []
+    for found in decontaminate.split(texts):
+        for s in range(0, len(found), decontaminate.STRIDE):
+            row = np.bincount(decontaminate.buckets(found[s : s + decontaminate.PASSAGE]), minlength=decontaminate.BUCKETS) * idf
+            rows.append(row / np.sqrt((row * row).sum()))
+    dense = np.array(rows)
+    dense = dense[:, dense.any(0)]
+    got = decontaminate.singular_vectors(spark, table, idf)[1]
+    want = np.linalg.svd(dense, compute_uv=False)[: len(got)]
+    assert len(rows) > 200 and np.allclose(got[:5], want[:5], rtol=1e-3) and (got <= want * 1.001).all()
+
+
+def test_rows_are_added_by_bucket():
+    rng = np.random.default_rng(4)
+    blocks = np.where(rng.random((24, 300)) < 0.1, decontaminate.BUCKETS, rng.zipf(1.3, (24, 300)) % 500)
+    rows = rng.standard_normal((300, 5))
+    got, want = np.zeros((2, decontaminate.BUCKETS, 5))
+    decontaminate.add_rows(got, blocks, rows)
+    for word in blocks:
+        some = word < decontaminate.BUCKETS
+        np.add.at(want, word[some], rows[some])
+    assert np.allclose(got, want)
+    decontaminate.add_rows(got, np.full((24, 2), decontaminate.BUCKETS), rows[:2])
+    assert np.allclose(got, want)
