@@ -31,6 +31,8 @@ from tessera.llm.common import kept
 from tessera.llm.hashing import mixed, word_hashes, words_of
 
 PASSAGE, STRIDE, BUCKETS, RANK, OVERSAMPLE = 48, 24, 1 << 16, 48, 8
+#: What all items weigh in the fit at least, as a share of what all documents weigh: else few items would not count in it.
+SHARE = 0.1
 #: Items that are searched at once; blocks of words whose latent rows are held at once, and buckets of one row of a sketch.
 ITEMS, STEP, PART = 100_000, 4096, 1024
 COMMON, MIN_CONTENT = 0.1, 6
@@ -239,21 +241,28 @@ def orthonormal(y: np.ndarray, rows: int = 8192) -> np.ndarray:
     return np.concatenate([q @ turn[end - len(r) : end] for (q, r), end in zip(parts, ends.tolist(), strict=True)])
 
 
-def singular_vectors(spark: SparkSession, table: DataFrame, idf: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def singular_vectors(spark: SparkSession, table: DataFrame, idf: np.ndarray, items: DataFrame | None = None, weight: float = 1.0, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The right singular vectors (BUCKETS by RANK at most) and singular values of the unit TF-IDF vectors of all passages
-    of the table (words).
+    of the table (words), and of the items (words), each of which counts `weight` times.
 
     Executors make A'(AW) for a random W, summed by bucket; its orthonormal basis Q holds the leading directions after
     a power step. They then make (AQ)'(AQ), whose eigenvectors turn Q into the singular vectors. A task's sketch has a
     fixed size, so a task reads as much as there is for each of two tasks a core, and 8 at least.
     """
     width = RANK + OVERSAMPLE
-    rows = table.select("words").coalesce(max(8, 2 * spark.sparkContext.defaultParallelism))
+    tasks = max(8, 2 * spark.sparkContext.defaultParallelism)
+
+    def over_all(make, schema: str) -> DataFrame:
+        def run(times: float):
+            return lambda batches: make(batches, times)
+
+        out = table.select("words").coalesce(tasks).mapInArrow(run(1.0), schema)
+        return out if items is None else out.unionByName(items.select("words").coalesce(tasks).mapInArrow(run(weight), schema))
 
     def weighted(x: np.ndarray) -> np.ndarray:
         return np.concatenate([x * idf[:, None], np.zeros((1, width), np.float32)])
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch], times: float) -> Iterator[pa.RecordBatch]:
         w = weighted(np.random.default_rng(seed).standard_normal((BUCKETS, width), np.float32))
         total = np.zeros((BUCKETS, width), np.float32)
         for batch in bounded(batches, "words"):
@@ -264,7 +273,7 @@ def singular_vectors(spark: SparkSession, table: DataFrame, idf: np.ndarray, see
                 joined = np.flatnonzero(goes_on)
                 z[joined + 1] += y[joined]
                 add_rows(total, blocks, z)
-        total *= idf[:, None]
+        total *= idf[:, None] * np.float32(times)
         for i in range(0, BUCKETS, PART):
             if total[i : i + PART].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i : i + PART].tobytes()], pa.binary())], ["first", "y"])
@@ -278,7 +287,7 @@ def singular_vectors(spark: SparkSession, table: DataFrame, idf: np.ndarray, see
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], ["first", "y"])
 
     # The driver gets PART buckets in a row: it makes no objects for single buckets.
-    found = rows.mapInArrow(sketch, "first long, y binary").repartition(8, "first").mapInArrow(summed, "first long, y binary").collect()
+    found = over_all(sketch, "first long, y binary").repartition(8, "first").mapInArrow(summed, "first long, y binary").collect()
     y = np.zeros((BUCKETS, width), np.float32)
     for r in found:
         y[r["first"] : r["first"] + PART] = np.frombuffer(r["y"], np.float32).reshape(-1, width)
@@ -286,15 +295,16 @@ def singular_vectors(spark: SparkSession, table: DataFrame, idf: np.ndarray, see
     q = orthonormal(y)
     sent = spark.sparkContext.broadcast(q)
 
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gram(batches: Iterator[pa.RecordBatch], times: float) -> Iterator[pa.RecordBatch]:
         total, w = np.zeros((width, width)), weighted(sent.value)
         for batch in bounded(batches, "words"):
             for blocks, goes_on, scale in fit_passages(arrays(batch, 0), idf):
                 b = passage_sums(w, blocks, goes_on) * scale
                 total += b.T @ b
+        total *= times
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
 
-    g = sum(np.frombuffer(r["g"]).reshape(width, width) for r in rows.mapInArrow(gram, "g binary").collect())
+    g = sum(np.frombuffer(r["g"]).reshape(width, width) for r in over_all(gram, "g binary").collect())
     sent.destroy()
     values, vectors = np.linalg.eigh(np.atleast_2d(g) + np.zeros((width, width)))
     order = np.argsort(values)[::-1][:RANK]
@@ -330,7 +340,10 @@ def build(spark: SparkSession, table: DataFrame, items: DataFrame, item_key: str
         return []
     seen, total = document_frequencies(table)
     idf = (np.log((total + 1) / (seen + 1)) + 1).astype(np.float32)
-    vectors, size = singular_vectors(spark, table.select("words").unionByName(hashed(items, item_key, "text").select("words")), idf)
+    asked = hashed(items, item_key, "text")
+    blocks = F.coalesce(F.sum(F.ceil(F.octet_length("words") / (4 * STRIDE))), F.lit(0))  # as many as passages
+    weight = SHARE * table.agg(blocks).first()[0] / max(1, asked.agg(blocks).first()[0])
+    vectors, size = singular_vectors(spark, table, idf, asked, max(1.0, weight))
     if not len(size):
         return []
     projection = np.concatenate([vectors / size * idf[:, None], np.zeros((1, len(size)))]).astype(np.float32)

@@ -270,6 +270,10 @@ def test_latent_space_is_fitted_on_all_passages(spark):
     want = np.linalg.svd(dense, compute_uv=False)[: len(got)]
     assert len(rows) > 200 and np.allclose(got[:5], want[:5], rtol=1e-3) and (got <= want * 1.001).all()
 
+    one = table.where("doc_id = 9")
+    got = decontaminate.singular_vectors(spark, one.where("false"), idf, one, 4.0)[1]
+    assert np.allclose(got, 2 * decontaminate.singular_vectors(spark, one, idf)[1][: len(got)], rtol=1e-3)
+
 
 def test_rows_are_added_by_bucket():
     rng = np.random.default_rng(4)
