@@ -11,6 +11,8 @@ from tessera.sources.scratch import scratch_path
 
 #: A word of the contracts is a run of anything but these six characters.
 GAP = r"[\x20\x09-\x0D]+"
+#: Rows of ids that a task is worth.
+TASK_ROWS = 25_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,14 +48,20 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """How many tasks so many rows of ids are worth: two a core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def kept(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor costs nothing.
+    tasks: how many write it at most, however many partitions it was shuffled to.
 
     The files stay until `scratch.sweep`, as the result is lazy and may be read at any later time.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

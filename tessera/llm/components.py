@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import kept, release
+from tessera.llm.common import kept, release, tasks_for
 
 #: Links that one step of a task holds.
 LINKS = 1 << 20
@@ -18,6 +18,8 @@ BROADCAST = 200_000
 HUBS, HUB_ROUNDS = 3, 2
 #: Longs in the bit map of a set.
 MAP = 8
+#: Rows of ids, sizes and bit maps, and elements of sets, up to which a join on the similarity is by broadcast (some 16 MB each).
+REACH_ROWS, REACH_ELEMENTS = 100_000, 2_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +77,30 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
+def _whole(links: DataFrame) -> DataFrame:
+    """node, component of links that one task holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)] for batch in batches]
+        if held:
+            nodes, least = forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            top = np.unique(least)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([nodes, top])), pa.array(np.concatenate([least, top]))], ["node", "component"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, component (its least node) of every node of the links (a, b); loops are left out.
+    """node, component (its least node) of every node of the links (a, b), a written table; loops are left out.
 
-    Links become stars within each partition, before and after they are dealt anew. Where a node then has two least nodes,
-    alternating large-star and small-star steps go on, whose number grows with the logarithm of the longest path. Each
-    round's links are written to the shared folder.
+    Up to LINKS of them are settled by one task. More become stars within each partition, before and after they are dealt
+    anew. Where a node then has two least nodes, alternating large-star and small-star steps go on, whose number grows with
+    the logarithm of the longest path. Each round's links are written to the shared folder.
     """
-    links = kept(_forests(_forests(links.where("a <> b")).distinct()), name)
+    links = links.where("a <> b")
+    if links.count() <= LINKS:
+        return _whole(links)
+    links = kept(_forests(_forests(links).distinct()), name)
     while True:
         nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")))
         nodes = nodes.groupBy("node").agg(F.min("component").alias("component"), F.max("component").alias("other"))
@@ -96,14 +114,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def merged(parts: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def merged(parts: DataFrame, links: DataFrame, name: str, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """parts (node, component) after links (a, b) between components, and what changed as (component, new)."""
-    moved = kept(components(links, name).where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("new")), f"{name}-moved")
-    of = small(moved)
-    whole = parts.join(of, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
-    alone = moved.select(F.col("component").alias("node"), F.col("new").alias("component")).join(parts.select("node"), "node", "left_anti")
-    tops = moved.select(F.col("new").alias("node")).distinct().join(parts.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
-    return kept(whole.unionByName(alone).unionByName(tops), f"{name}-parts"), moved
+    stars = kept(components(links, name), f"{name}-moved", tasks)
+    moved = stars.where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("new"))
+    whole = parts.join(small(moved), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = stars.join(small(parts.select("node")), "node", "left_anti")
+    return kept(whole.unionByName(alone.select("node", "component")), f"{name}-parts", tasks), moved
 
 
 def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -117,35 +134,38 @@ def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possibl
     then with its other heads and with HUBS members of the largest component of each bucket, drawn by hash, where these
     are of another component. What then still lies in one bucket and in several components goes to `possible`.
     """
-    heads = buckets.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
+    tasks = tasks_for(buckets.sparkSession, buckets.count())  # else each step has as many as there are shuffle partitions
+    heads = small(kept(buckets.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), f"{name}-heads", tasks))
     pairs = buckets.join(heads, "band").where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
-    pairs = kept(pairs, f"{name}-pairs")
-    best = kept(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), f"{name}-best")
-    parts = kept(components(kept(alike(best), f"{name}-links"), f"{name}-stars"), f"{name}-parts")
+    pairs = kept(pairs, f"{name}-pairs", tasks)
+    best = kept(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), f"{name}-best", tasks)
+    parts = kept(components(kept(alike(best), f"{name}-links", tasks), f"{name}-stars"), f"{name}-parts", tasks)
     release(buckets.sparkSession)
 
     def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return rows.join(small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     def hubs(rows: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
         """The rows of buckets with several components, and the pairs of their nodes with hubs of another component."""
         draw = lambda k: F.max_by("node", F.xxhash64(F.lit(number * HUBS + k), "node")).alias(f"h{k}")
         per = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), *(draw(k) for k in range(HUBS)))
         top = per.groupBy("band").agg(F.max(F.struct("n", "component", *(f"h{k}" for k in range(HUBS)))).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        several = kept(rows.join(top.select("band", "top"), "band"), f"{name}-open")
+        top = small(kept(top.select("band", "top"), f"{name}-tops", tasks))
+        several = kept(rows.join(top, "band"), f"{name}-open", tasks)
         star = several.where("component <> top.component").select(F.explode(F.array_distinct(F.array(*(f"top.h{k}" for k in range(HUBS))))).alias("hub"), "node", F.col("top.component").alias("ca"), F.col("component").alias("cb"))
         return several.select("band", "node", "component"), star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "ca", "cb")
 
     def more(candidates: DataFrame) -> DataFrame | None:
         """Merges the components (ca, cb) of the candidates (a, b) that are alike; what moved, or None if nothing did."""
         nonlocal parts
-        candidates = kept(candidates.distinct(), f"{name}-crossing")
+        candidates = kept(candidates.distinct(), f"{name}-crossing", tasks)
         if candidates.isEmpty():
             return None
-        found = kept(alike(candidates.select("a", "b")).join(candidates, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), f"{name}-links")
+        found = alike(candidates.select("a", "b")).join(small(candidates), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        found = kept(_forests(found), f"{name}-links", tasks)
         if found.isEmpty():
             return None
-        parts, moved = merged(parts, found, f"{name}-stars")
+        parts, moved = merged(parts, found, f"{name}-stars", tasks)
         return moved
 
     def moved_on(rows: DataFrame, moved: DataFrame | None) -> DataFrame:
@@ -153,9 +173,9 @@ def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possibl
             return rows
         return rows.join(small(moved), "component", "left").select("band", "node", F.coalesce("new", "component").alias("component"))
 
-    own = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    own = lambda c: small(parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")))
     rest = pairs.select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-    rest = rest.join(best, ["a", "b"], "left_anti")
+    rest = rest.join(small(best), ["a", "b"], "left_anti")
     rows, star = hubs(placed(buckets.join(heads.where("n > 2").select("band"), "band", "left_semi")), 0)
     rows = moved_on(rows, more(rest.unionByName(star)))
     for number in range(1, HUB_ROUNDS):
@@ -167,30 +187,47 @@ def settled(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], possibl
     if rows.isEmpty():
         return parts
     several = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rows = kept(rows.join(several, "band", "left_semi"), f"{name}-open")
+    rows = kept(rows.join(small(kept(several, f"{name}-several", tasks)), "band", "left_semi"), f"{name}-open", tasks)
     if not rows.isEmpty():
         more(possible(rows))
     return parts
 
 
 def within_reach(rows: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, ca, cb) of rows (band, node, component) in one band and of different components whose sets (node,
-    elements, bit map) are alike: a join of each band on the similarity itself.
+    """Pairs (a, b, ca, cb) of rows (band, node, component), a written table, in one band and of different components whose
+    sets (node, elements, bit map) are alike: a join of each band on the similarity itself.
 
     Two sets have no more in common than the elements of either that any other set has, so a node with too much to itself
     meets no other; and they differ in as many elements at least as their bit maps do in bits. Only where these bounds allow
-    for the threshold are the sets themselves compared, so nothing is lost.
+    for the threshold are the sets themselves compared, so nothing is lost. Few rows and sets are broadcast, so that a hot
+    band is met by all tasks; more are dealt by band, the sets with them.
     """
-    own = kept(elements.join(rows.select("node").distinct(), "node", "left_semi"), "elements")
+    n = rows.count()
+    tasks = tasks_for(rows.sparkSession, n)
+    nodes = small(kept(rows.select("node").distinct(), "open-nodes", tasks))
+    own = kept(elements.join(nodes, "node", "left_semi"), "elements", tasks)
     single = own.select(F.explode("elements").alias("unit"), "node").groupBy("unit").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    sizes = own.withColumn("size", F.size("elements")).join(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
+    alone = small(kept(single.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "alone", tasks))
+    sizes = own.withColumn("size", F.size("elements")).join(alone, "node", "left")
     sizes = sizes.withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).where(F.col("common") >= F.col("size") * threshold - 1e-6)
     maps = [f"m{k}" for k in range(MAP)]
-    x, y = (rows.join(sizes, "node").select("band", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "size", "common", "component", "elements", *maps))) for n in "ab")
+    few = n <= REACH_ROWS and (own.agg(F.sum(F.size("elements"))).first()[0] or 0) <= REACH_ELEMENTS
+    sets = sizes.select("node", "elements")
+    carried = ["size", "common", *maps] if few else ["size", "common", *maps, "elements"]
+    open_ = rows.join(F.broadcast(sizes.select("node", *carried)) if few else sizes, "node")
+    open_ = kept(open_, "open-sizes", tasks) if few else open_
+    x, y = (open_.select("band", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "component", *carried))) for side in "ab")
     across = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
     both = F.col("a_size") + F.col("b_size")
     possible = F.least("a_common", "b_common") * (1 + threshold) >= both * threshold - 1e-6
     apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps), F.lit(0))
     possible = possible & (apart * (1 + threshold) <= both * (1 - threshold) + 1e-6)
-    alike = F.when(possible, F.size(F.array_intersect("a_elements", "b_elements")) * (1 + threshold) >= both * threshold - 1e-6).otherwise(False)
-    return x.join(y, "band").where(across & alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_component").alias("ca"), F.col("b_component").alias("cb"))
+    shared = F.size(F.array_intersect("a_elements", "b_elements")) * (1 + threshold) >= both * threshold - 1e-6
+    if few:
+        pairs = x.join(F.broadcast(y), "band").where(across & possible)
+        for side in "ab":
+            pairs = pairs.join(F.broadcast(sets.select(F.col("node").alias(f"{side}_node"), F.col("elements").alias(f"{side}_elements"))), f"{side}_node")
+        pairs = pairs.where(shared)
+    else:
+        pairs = x.join(y, "band").where(across & F.when(possible, shared).otherwise(False))
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_component").alias("ca"), F.col("b_component").alias("cb"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import bounded
-from tessera.llm.common import free_name, kept, release
+from tessera.llm.common import free_name, kept, release, tasks_for
 from tessera.llm.components import MAP, settled, small, within_reach
 from tessera.llm.hashing import mixed, word_hashes
 
@@ -165,7 +165,7 @@ def _units(docs: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([f for f, s in zip(found, same.tolist(), strict=True) if s], pa.int64()), pa.array(sets, pa.binary())], ["node", "units"])
 
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
-    some = small(kept(places.where("id is not null"), "places"))
+    some = small(places.where("id is not null"))
     known = rows.join(some, rows["__id"] == some["id"]).select("node", "__text").mapInArrow(run, "node long, units binary")
     other = rows.where("__id is null").select(F.lit(None).cast("long").alias("node"), "__text").mapInArrow(run, "node long, units binary")
     other = other.join(places.where("id is null").select("node"), "node", "left_semi")
@@ -207,9 +207,12 @@ def node_classes(table: DataFrame, docs: DataFrame, key: str, text: str, thresho
     """node, component of all nodes that are linked to another. table: what `signed` made, written."""
     rows = table.where("bands is not null").select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
-    buckets = kept(rows.join(shared, "band", "left_semi").distinct(), "buckets")  # of two nodes or more
-    places = table.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(key).alias("id"))
-    units = kept(_units(docs, key, text, kept(places, "places")), "units")
+    tasks = tasks_for(docs.sparkSession, table.count())
+    shared = small(kept(shared, "shared", tasks))
+    buckets = kept(rows.join(shared, "band", "left_semi").distinct(), "buckets", tasks)  # of two nodes or more
+    nodes = small(kept(buckets.select("node").distinct(), "bucket-nodes", tasks))
+    places = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(key).alias("id"))
+    units = kept(_units(docs, key, text, kept(places, "places", tasks)), "units", tasks)
     release(docs.sparkSession)
     alike = lambda pairs: verified(pairs, units, threshold)
     return settled(buckets, alike, lambda open_: within_reach(open_, elements(units), threshold), "near")
@@ -219,11 +222,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """A row for each row of docs: key, node and class_id, the least key of its class; a null text's class is its own key."""
     release(docs.sparkSession)  # of what ran before, as the jobs to come are many
     table = kept(signed(docs, key, text), "signed")
+    tasks = tasks_for(docs.sparkSession, table.count())
     parts = node_classes(table, docs, key, text, threshold)
     own = table.where("node is not null").groupBy("node").agg(F.min(key).alias("least"))
-    placed = kept(own.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("__part")), "placed")
+    placed = kept(own.join(small(parts), "node", "left").select("node", "least", F.coalesce("component", "node").alias("__part")), "placed", tasks)
     least = placed.groupBy("__part").agg(F.min("least").alias("class_id"))
-    of = placed.join(least, "__part").select(F.col("node").alias("__node"), "class_id")
+    of = small(kept(placed.join(least, "__part").select(F.col("node").alias("__node"), "class_id"), "node-classes", tasks))
     rows = table.select(key, "node").join(of, F.col("node") == F.col("__node"), "left")
     return rows.select(key, "node", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"))
 

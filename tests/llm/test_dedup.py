@@ -165,6 +165,52 @@ def test_components_without_coalescing(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_components_of_more_links_than_a_task_holds(spark, monkeypatch):
+    """The rounds of stars and the one task give the same components."""
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(1000, 1100)] + [(0, i) for i in range(1, 60)] + [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(220)] + [(7, 7)]
+    rows = spark.createDataFrame(links, "a long, b long").repartition(16)
+    one = sorted(map(tuple, components(rows).select("node", "component").collect()))
+    monkeypatch.setattr("tessera.llm.components.LINKS", 0)
+    assert one == sorted(map(tuple, components(rows).select("node", "component").collect()))
+
+
+def test_few_links_take_few_tasks(spark):
+    """Whatever the number of shuffle partitions, if nothing coalesces them: each small step used to take as many tasks."""
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base] * 5 + [f"{base} x{i}" for i in range(20)] + [f"{base} {' '.join(f'y{i % 4}{j}' for j in range(9))} z{i}" for i in range(40)] + [f"n{i} " * 9 for i in range(20)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "67")
+    sc = spark.sparkContext
+    try:
+        sc.setJobGroup("few links", "few links")
+        got = {r["doc_id"]: r["class_id"] for r in darts.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup("few links") for s in sc.statusTracker().getJobInfo(j).stageIds}
+        found = [x.numTasks for s in stages if (x := sc.statusTracker().getStageInfo(s))]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got[0] == 0 and got[64] == 0 and all(got[i] == i for i in range(65, 85))
+    assert sum(n >= 67 for n in found) < 10  # 25 before
+
+
+def test_reach_is_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    bases = rng.integers(0, 2**62, (4, 60))
+    sets = [np.unique(np.concatenate([bases[i % 4][rng.random(60) < 0.93], rng.integers(0, 2**62, rng.integers(0, 4))])) for i in range(60)]
+    table = darts.elements(spark.createDataFrame([(n, bytearray(x.tobytes())) for n, x in enumerate(sets)], "node long, units binary"))
+    rows = spark.createDataFrame([(b, n, n % 20) for b in range(5) for n in range(60) if rng.random() < 0.7], "band long, node long, component long")
+    band = collections.defaultdict(list)
+    for b, n, c in rows.collect():
+        band[b].append((n, c))
+    want = {(a, b, ca, cb) for ns in band.values() for a, ca in ns for b, cb in ns if a < b and ca != cb and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    few = {tuple(r) for r in within_reach(rows, table, 0.8).collect()}
+    monkeypatch.setattr("tessera.llm.components.REACH_ROWS", 0)
+    assert few == want == {tuple(r) for r in within_reach(rows, table, 0.8).collect()} and len(want) > 50
+
+
 def test_buckets_are_settled_whatever_their_heads(spark):
     """Random buckets: the components are those of all pairs in a bucket that are alike, though few pairs are tested."""
     for seed in range(2):
